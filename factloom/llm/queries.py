@@ -6,9 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import warc
+from factloom.llm import bpe, warc
 from factloom.llm.common import table
 
+#: Where the public tokenizers' files are; a parameter of the operators.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """The place of a public tokenizer's file, which is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op1(spark, table(spark, sf_dir, "pages"))
@@ -31,8 +41,15 @@ FROM o
 """
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc_revisits": _op1}
+    return {
+        "op1_warc_revisits": _op1,
+        "op5_bpe_transducer": _op5,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
