@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, warc
+from factloom.llm import bpe, url_filter, warc
 from factloom.llm.common import table
 
 #: Where the public tokenizers' files are; a parameter of the operators.
@@ -41,6 +41,23 @@ FROM o
 """
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.PAGE_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP2_SQL = """
+WITH r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, url, regexp_extract(rest, '^[^/?#]*') AS raw_host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+q AS (SELECT row_number() OVER () AS n, page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM s),
+m AS (SELECT n, arg_max(h || p, length(h || p) * 1000 + length(h)) AS rule, arg_max(v, length(h || p) * 1000 + length(h)) AS v
+  FROM q JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM q LEFT JOIN m USING (n)
+"""
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -48,9 +65,13 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisits": _op1,
+        "op2_bloom_cascade": _op2,
         "op5_bpe_transducer": _op5,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": OP1_SQL}
+    return {
+        "op1_warc_revisits": OP1_SQL,
+        "op2_bloom_cascade": OP2_SQL,
+    }
