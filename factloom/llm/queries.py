@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, url_filter, warc
+from factloom.llm import bpe, mixing, quality_rules, url_filter, warc
 from factloom.llm.common import table
 
 #: Where the public tokenizers' files are; a parameter of the operators.
@@ -62,11 +62,22 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisits": _op1,
         "op2_bloom_cascade": _op2,
         "op5_bpe_transducer": _op5,
+        "op7_host_rules": _op7,
+        "op9_entropy_balancing": _op9,
     }
 
 
