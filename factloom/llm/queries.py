@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, mixing, quality_rules, url_filter, warc
+from factloom.llm import bpe, labelled, language_id, mixing, pairwise_quality, quality_rules, toxicity, url_filter, warc
 from factloom.llm.common import table
 
 #: Where the public tokenizers' files are; a parameter of the operators.
@@ -58,15 +58,33 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM q LEFT JO
 """
 
 
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, ~language_id.held_out())
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", labelled.held_out("doc_id", 5).alias("held_out"), "score", "predicted")
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = pairwise_quality.train(docs, table(spark, sf_dir, "labels"))
+    return pairwise_quality.score(docs, model).select("doc_id", labelled.held_out("doc_id", 5).alias("held_out"), "score", "predicted")
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -75,8 +93,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisits": _op1,
         "op2_bloom_cascade": _op2,
+        "op3_word_backoff": _op3,
         "op5_bpe_transducer": _op5,
+        "op6_nb_ngrams": _op6,
         "op7_host_rules": _op7,
+        "op8_bradley_terry": _op8,
         "op9_entropy_balancing": _op9,
     }
 
