@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, labelled, language_id, mixing, pairwise_quality, quality_rules, toxicity, url_filter, warc
+from factloom.llm import bpe, labelled, language_id, mixing, neardup, pairwise_quality, quality_rules, toxicity, url_filter, warc
 from factloom.llm.common import table
 
 #: Where the public tokenizers' files are; a parameter of the operators.
@@ -89,6 +89,10 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.find(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisits": _op1,
@@ -99,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_host_rules": _op7,
         "op8_bradley_terry": _op8,
         "op9_entropy_balancing": _op9,
+        "op10_chosen_path": _op10,
     }
 
 
