@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import bpe, labelled, language_id, mixing, neardup, pairwise_quality, quality_rules, toxicity, url_filter, warc
+from factloom.llm import ann, bpe, labelled, language_id, mixing, neardup, pairwise_quality, quality_rules, toxicity, url_filter, warc
 from factloom.llm.common import table
 
 #: Where the public tokenizers' files are; a parameter of the operators.
@@ -64,6 +65,10 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, top=5)
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -98,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc_revisits": _op1,
         "op2_bloom_cascade": _op2,
         "op3_word_backoff": _op3,
+        "op4_projection_forest": _op4,
         "op5_bpe_transducer": _op5,
         "op6_nb_ngrams": _op6,
         "op7_host_rules": _op7,
