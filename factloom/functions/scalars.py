@@ -133,8 +133,8 @@ def weakness_number(kind: Column) -> Column:
 
 
 def finding_number(rule: Column) -> Column:
-    """certificate checks turned off, hard-coded material, and other cryptographic findings."""
-    return F.when(has(rule, "CERT-VALIDATION"), "CWE-295").when(has(rule, "HARDCODED"), "CWE-321").otherwise("CWE-327")
+    """hard-coded material, certificate checks turned off, and other cryptographic findings."""
+    return F.when(has(rule, "HARDCODED"), "CWE-321").when(has(rule, "CERT"), "CWE-295").otherwise("CWE-327")
 
 
 def evidence_score(kind: Column) -> Column:

@@ -214,7 +214,7 @@ def instruction_like(table: DataFrame) -> DataFrame:
 
 def source_file(path: Column) -> Column:
     """Paths of nine kinds of source files."""
-    return F.lower(path).rlike(r"\.(cs|vb|fs|fsx|fsi|r|cshtml|razor|xaml)$")
+    return F.coalesce(F.lower(path).rlike(r"\.(cs|csx|vb|fs|fsi|fsx|r|rmd|qmd)$"), F.lit(False))
 
 
 def high_risk(confidence: Column, sink_category: Column) -> Column:
