@@ -11,6 +11,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RULE_SCHEMA = "ord int, target string, kind string, match string, pattern string, category string, pack string"
 #: The default sources: kind, pattern, match, category.
@@ -180,6 +181,8 @@ def user_rules(spark: SparkSession, path: str) -> DataFrame:
         if column is None:
             continue
         one = doc.select(F.posexplode(column).alias("ord", "r"))
+        if not isinstance(one.schema["r"].dataType, T.StructType):  # an empty list
+            continue
         fields = {f.name.lower(): f.name for f in one.schema["r"].dataType}
         get = lambda k, d=None, fields=fields: F.col(f"r.{fields[k]}") if k in fields else F.lit(d)
         one = one.select("ord", F.lit(target).alias("target"), get("kind", "Method").alias("kind"), F.coalesce(get("match"), F.lit("Contains")).alias("match"),
