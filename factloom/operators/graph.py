@@ -31,7 +31,7 @@ def reach(edges: DataFrame, starts: DataFrame, most: int = 100, group: str | Non
     """
     a, b = ("target_id", "source_id") if back else ("source_id", "target_id")
     on = [group] if group else []
-    steps = edges.select(F.col(a).alias("id"), F.col(b).alias("_next")).distinct()
+    steps = stored(edges.select(F.col(a).alias("id"), F.col(b).alias("_next")).distinct())
     frontier = stored(starts.select(*on, "id").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     for depth in range(1, most + 1):
