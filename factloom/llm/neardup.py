@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import TwoAgeCache, join_hot, materialize
+from factloom.llm.url_filter import build_filter
 
 #: Minwise tokens of a set: TREE_TOKENS for each of TREES trees.
 TREES, TREE_TOKENS = 8, 8
@@ -42,6 +43,8 @@ LEVELS = ((0,), (1,), (2, 3), (4,), (5,), (6, 7))
 LEAF = 512
 #: Heavy nodes at most for which their keys are broadcast (16 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 200_000
+#: Ids at most for which a Bloom filter (10 bits each) goes before the texts' join.
+MOST_FILTERED = 10_000_000
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -124,18 +127,21 @@ def tree_rows(sets: DataFrame) -> DataFrame:
 
 
 def grow(rows: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame | None]:
-    """Split nodes of over ``leaf`` rows level by level: (rows of small nodes, rows of those large at the last level)."""
+    """Split nodes of over ``leaf`` rows level by level: (rows of small nodes, rows of those large at the last level).
+
+    A level's rows meet the keys of its large nodes once; only the rows of large nodes are written for the next level.
+    """
     small: list[DataFrame] = []
     for depth, _ in enumerate(LEVELS):
         # only keys are counted, with map-side sums
-        heavy = materialize(rows.groupBy("node").count().filter(F.col("count") > leaf).select("node"))
+        heavy = materialize(rows.groupBy("node").count().filter(F.col("count") > leaf).select("node", F.lit(True).alias("_heavy")))
         n = heavy.count()
         if n == 0:
             small.append(rows)
             return _union(small), None
-        heavy = F.broadcast(heavy) if n <= MOST_BROADCAST else heavy
-        small.append(rows.join(heavy, "node", "left_anti"))
-        rows = rows.join(heavy, "node", "left_semi")
+        flagged = rows.join(F.broadcast(heavy) if n <= MOST_BROADCAST else heavy, "node", "left")
+        small.append(flagged.filter("_heavy is null").drop("_heavy"))
+        rows = materialize(flagged.filter("_heavy").drop("_heavy"))
         if depth + 1 < len(LEVELS):
             keys = F.array(*[F.xxhash64("node", F.lit(k), F.get("rest", F.lit(k))) for k in LEVELS[depth + 1]])
             rows = rows.withColumn("node", F.explode(keys))
@@ -276,22 +282,26 @@ def confirm(members: DataFrame, percent: int, size: int, side: bool) -> DataFram
     return dealt.mapInPandas(run, "a binary, b binary")
 
 
-def heavy_links(heavy: DataFrame, texts, leaf: int, percent: int, size: int) -> DataFrame:
-    """Links within nodes that stayed large: each document with the node's first, then the rest block by block."""
-    own = materialize(heavy.select("node", "mark").distinct())
+def heavy_links(own: DataFrame, texts: DataFrame, leaf: int, percent: int, size: int) -> DataFrame:
+    """Links within nodes that stayed large (``own``: node, mark): each set with the node's first, the rest block by block.
+
+    Nodes of several trees share their first and most of their sets; a pair of sets is compared once.
+    """
     first = materialize(own.groupBy("node").agg(F.min("mark").alias("first")))
+    with_first = own.join(first, "node")
 
     def star(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(size)
         firsts = TwoAgeCache(lambda text: shingles(text), 64)
         for frame in frames:
             near = [similar(firsts[a], shingles(b), percent) for a, b in zip(frame["_first_text"], frame["_text"], strict=True)]
-            yield pd.DataFrame({"node": frame["node"], "first": frame["first"], "mark": frame["mark"], "near": near})
+            yield pd.DataFrame({"first": frame["first"], "mark": frame["mark"], "near": near})
 
-    with_first = texts(first.withColumnRenamed("first", "mark")).select("node", F.col("mark").alias("first"), F.col("_text").alias("_first_text"))
-    joined = texts(own).join(with_first, "node").select("node", "first", "mark", "_first_text", "_text")
-    judged = materialize(joined.mapInPandas(star, "node long, first binary, mark binary, near boolean"))
-    links = judged.filter(F.col("near") & (F.col("mark") != F.col("first"))).select(F.col("first").alias("a"), F.col("mark").alias("b"))
+    firsts = texts.join(first.select(F.col("first").alias("mark")).distinct(), "mark", "left_semi").select(F.col("mark").alias("first"), F.col("_text").alias("_first_text"))
+    pairs = with_first.select("first", "mark").distinct().join(firsts, "first").join(texts.select("mark", "_text"), "mark")
+    compared = materialize(pairs.select("first", "mark", "_first_text", "_text").mapInPandas(star, "first binary, mark binary, near boolean"))
+    links = compared.filter(F.col("near") & (F.col("mark") != F.col("first"))).select(F.col("first").alias("a"), F.col("mark").alias("b"))
+    judged = materialize(with_first.join(compared, ["first", "mark"]))
 
     far = judged.filter(~F.col("near"))
     if not far.limit(1).count():
@@ -306,7 +316,7 @@ def heavy_links(heavy: DataFrame, texts, leaf: int, percent: int, size: int) ->
     rest = dealt.filter(~F.col("near")).select("node", "mark", F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("_b"), F.col("_f").alias("_g"), F.lit(0).alias("side"))
     both = rest.unionByName(everyone.select(rest.columns)).withColumn("cluster", F.xxhash64("node", "_b", "_g"))
     both = both.groupBy("cluster", "mark").agg(F.min("side").alias("side"))
-    return links.unionByName(confirm(texts(both), percent, size, True))
+    return links.unionByName(confirm(both.join(texts, "mark"), percent, size, True))
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -329,6 +339,18 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (mark, _id) with each id's text.
+
+    A Bloom filter of the ids, if it fits its bound, keeps other documents' texts out of the shuffle; the join is exact.
+    """
+    n = wanted.count()
+    if 0 < n <= MOST_FILTERED:
+        own = build_filter(wanted.select(F.col("_id").cast("string").alias("key")), n, 0.01, 11)
+        docs = docs.filter(own.has(F.col("_id").cast("string")))
+    return wanted.join(docs, "_id").select("mark", "_text")
+
+
 def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, leaf: int = LEAF) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest id of its component) and kept."""
     sets = materialize(embed(docs, id_column, text, size))
@@ -336,16 +358,14 @@ def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: i
     distinct = materialize(sets.filter("n > 0").groupBy("mark").agg(F.min("_id").alias("_id"), F.first("tokens").alias("tokens")))
     small, heavy = grow(tree_rows(distinct), leaf)
 
-    own = docs.select(docs[id_column].alias("_id"), docs[text].alias("_text"))
-
-    def texts(marks: DataFrame) -> DataFrame:
-        """``marks`` with the text of each mark's smallest id."""
-        return marks.join(distinct.select("mark", "_id"), "mark").join(own, "_id")
-
     found = materialize(clusters(small, least_matches(percent / 100)))
-    links = confirm(texts(found.withColumn("side", F.lit(0))), percent, size, False)
-    if heavy is not None:
-        links = links.unionByName(heavy_links(heavy, texts, leaf, percent, size))
+    own = materialize(heavy.select("node", "mark").distinct()) if heavy is not None else None
+    # texts are fetched once, of the sets that are to be compared only
+    wanted = found.select("mark") if own is None else found.select("mark").unionByName(own.select("mark"))
+    texts = materialize(fetch(docs.select(docs[id_column].alias("_id"), docs[text].alias("_text")), materialize(distinct.select("mark", "_id").join(wanted.distinct(), "mark", "left_semi"))))
+    links = confirm(found.join(texts, "mark").withColumn("side", F.lit(0)), percent, size, False)
+    if own is not None:
+        links = links.unionByName(heavy_links(own, texts, leaf, percent, size))
     roots = components(materialize(links))
     # a component's id is the smallest of its vertices' ids
     of_mark = distinct.select("mark", "_id").join(roots, "mark").select("mark", "_id", "root")
