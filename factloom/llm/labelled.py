@@ -25,8 +25,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_co
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
         chosen = known.limit(0)
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    return rows, sizes
+    rows = docs.select(F.col(id_column).alias("_id"), F.coalesce(text, F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+    # repeated ids count once, so the sample stays bounded
+    return rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text")), sizes
 
 
 def held_out(id_column: str, fold: int) -> Column:
