@@ -93,7 +93,7 @@ def json_document(tables: dict[str, DataFrame], keep_nulls: bool = False) -> Dat
     return out.agg(F.concat(F.lit("{"), joined, F.lit("}")).alias("json"))
 
 
-def cyclonedx(assets: DataFrame) -> DataFrame:
+def crypto_bom(assets: DataFrame) -> DataFrame:
     """K8: a component row per asset; blank properties are dropped."""
     names = [c for c in assets.columns if c not in ("id", "algorithm")]
     properties = F.filter(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in names]), lambda x: F.trim(F.coalesce(x["value"], F.lit(""))) != "")
