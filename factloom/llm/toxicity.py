@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """All columns of ``docs`` but the text stay; score and predicted are added. See ``keep_clean`` for whole rows."""
+    """doc_id, score and predicted for every row of ``docs``; see ``keep_clean`` for whole rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(docs[id_column].alias("doc_id"), docs[text].alias("_text"))
 
