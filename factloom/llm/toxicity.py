@@ -61,14 +61,15 @@ def fit(features: list[tuple[int, np.ndarray, np.ndarray]], sizes: dict[int, int
     if {x[0] for x in features} != {0, 1}:
         share = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
         return Model(np.zeros(space, dtype=np.float32), math.log(share / (1 - share)))
+    features.sort(key=lambda x: -x[0])  # label 1 first: each class is a slice
     y = np.array([x[0] for x in features], dtype=np.float64)
     lens = np.array([len(x[1]) for x in features])
-    index, count = np.concatenate([x[1] for x in features]), np.concatenate([x[2] for x in features]).astype(np.float32)
-    row = np.repeat(np.arange(len(y), dtype=np.int32), lens)
+    ones = int(lens[y == 1].sum())
+    index, count = np.concatenate([x[1] for x in features]), np.concatenate([x[2] for x in features])
+    features.clear()
     documents = np.bincount(index, minlength=space)
-    of_one = y[row]
-    p = 1 + np.bincount(index, weights=count * of_one, minlength=space)
-    q = 1 + np.bincount(index, weights=count * (1 - of_one), minlength=space)
+    p = 1 + np.bincount(index[:ones], weights=count[:ones], minlength=space)
+    q = 1 + np.bincount(index[ones:], weights=count[ones:], minlength=space)
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     gain = np.where(documents >= least_documents, np.abs(ratio) * np.sqrt(documents), -1.0)
     chosen = np.argsort(-gain, kind="stable")[:keep]
@@ -76,8 +77,9 @@ def fit(features: list[tuple[int, np.ndarray, np.ndarray]], sizes: dict[int, int
     place = np.full(space, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
     use = place[index] >= 0
-    column, row = place[index[use]], row[use]
+    column, row = place[index[use]], np.repeat(np.arange(len(y), dtype=np.int32), lens)[use]
     value = count[use] * ratio[index[use]].astype(np.float32)
+    del index, count, use
     n, d = len(y), len(chosen)
     w, m, v, bias, mb, vb = np.zeros(d), np.zeros(d), np.zeros(d), 0.0, 0.0, 0.0
     for k in range(1, steps + 1):
@@ -104,10 +106,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
         for batch in batches:
             for a, b in zip(batch["_text"], batch["_label"], strict=True):
                 index, count = document_grams(a)
-                yield pd.DataFrame({"label": [b], "index": [index], "count": [count.astype(np.int16)]})
+                yield pd.DataFrame({"label": [b], "index": [index.tobytes()], "count": [count.astype(np.int32).tobytes()]})
 
-    found = rows.mapInPandas(extract, "label int, index array<int>, count array<smallint>").toLocalIterator()
-    features = [(r.label, np.array(r["index"], dtype=np.int32), np.array(r["count"], dtype=np.int16)) for r in found]
+    # bytes, not lists: the sample stays compact on its way to the driver
+    found = rows.mapInPandas(extract, "label int, index binary, count binary").toLocalIterator()
+    features = [(r["label"], np.frombuffer(r["index"], dtype=np.int32), np.frombuffer(r["count"], dtype=np.int32)) for r in found]
     return fit(features, sizes)
 
 
