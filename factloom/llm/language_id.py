@@ -34,34 +34,38 @@ SCORE_WORDS = 20
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    word_rows: np.ndarray
+    grams: dict[str, int]
+    gram_rows: np.ndarray
     floor: np.ndarray
 
     def word(self, word: str) -> np.ndarray:
         """The word's log frequencies by language."""
         found = self.words.get(word)
         if found is not None:
-            return found
-        bound = f"^{word}$"
+            return self.word_rows[found]
+        bound, get = f"^{word}$", self.grams.get
         for n in range(MOST, 0, -1):
-            known = [g for i in range(len(bound) - n + 1) if (g := self.grams.get(bound[i : i + n])) is not None]
+            known = [g for i in range(len(bound) - n + 1) if (g := get(bound[i : i + n])) is not None]
             if known:
-                return np.mean(known, axis=0, dtype=np.float32)
+                return self.gram_rows[known].sum(0) / len(known)
         return self.floor
 
 
 class Scorer:
     """Rows of log frequencies, by the chunk between white space; at most ``limit`` chunks are kept."""
 
-    def __init__(self, model: Model, limit: int = 200_000):
+    def __init__(self, model: Model, limit: int = 250_000):
         self.model, self.limit = model, limit
         self.rows = np.zeros((limit, len(model.languages) + 1), dtype=np.float32)
         self.at: dict[str, int] = {}
 
     def row(self, chunk: str) -> np.ndarray:
         """The sum over the chunk's words, and their number."""
-        words = [w for w in WORD.findall(chunk) if any(map(str.isalpha, w))]
+        words = WORD.findall(chunk)
+        if not chunk.isascii():
+            words = [w for w in words if any(map(str.isalpha, w))]
         out = np.zeros(len(self.model.languages) + 1, dtype=np.float32)
         for w in words:
             out[:-1] += self.model.word(w)
@@ -76,13 +80,12 @@ class Scorer:
             part = items[start : start + 50_000]
             if len(self.at) + len(part) > self.limit:
                 self.at.clear()
-            places = np.empty(len(part), dtype=np.int64)
-            for k, (chunk, _) in enumerate(part):
-                place = self.at.get(chunk)
-                if place is None:
-                    place = self.at[chunk] = len(self.at)
-                    self.rows[place] = self.row(chunk)
-                places[k] = place
+            places = [self.at.get(chunk) for chunk, _ in part]
+            if None in places:
+                for k, place in enumerate(places):
+                    if place is None:
+                        places[k] = self.at[part[k][0]] = len(self.at)
+                        self.rows[places[k]] = self.row(part[k][0])
             total += np.array([n for _, n in part], dtype=np.float64) @ self.rows[places]
         return total
 
@@ -103,7 +106,7 @@ def train(docs: DataFrame, usable: Column, id_column: str = "doc_id", text: str
     known = docs.filter(usable & F.col(language).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(language).count().collect()}  # a row per language
     if not sizes:
-        return Model((), {}, {}, np.zeros(0))
+        return Model((), {}, np.zeros((0, 0)), {}, np.zeros((0, 0)), np.zeros(0))
     languages = tuple(sorted(sizes, key=lambda x: [ord(c) for c in x]))
     share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / v)))])
     chosen = known.filter(hash_unit(id_column, seed=5) < F.element_at(share, F.col(language))).select(language, text)
@@ -126,11 +129,11 @@ def train(docs: DataFrame, usable: Column, id_column: str = "doc_id", text: str
     ]))
     # of words of over 40 letters, which are seldom words, n-grams aren't counted; they are scored all the same
     grams = words.filter(F.length("word") <= 40).select("lang", F.explode(pieces).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return Model(languages, _table(words, "word", languages)[0], *_table(grams, "gram", languages))
+    return Model(languages, *_table(words, "word", languages)[:2], *_table(grams, "gram", languages))
 
 
-def _table(counts: DataFrame, key: str, languages: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Smoothed log frequencies by key, of keys seen twice or more, and those of an unseen key."""
+def _table(counts: DataFrame, key: str, languages: tuple[str, ...]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Keys seen twice or more with their rows, the rows' smoothed log frequencies, and those of an unseen key."""
     one = counts.groupBy(key).pivot("lang", list(languages)).agg(F.sum("n")).fillna(0)
     total = F.lit(0)
     for x in languages:
@@ -139,7 +142,7 @@ def _table(counts: DataFrame, key: str, languages: tuple[str, ...]) -> tuple[dic
     table = np.array([r[1] for r in rows], dtype=np.float64).reshape(-1, len(languages))
     sums = table.sum(0) + 0.5 * (len(rows) + 1)
     logs = np.log((table + 0.5) / sums).astype(np.float32)
-    return {r[0]: logs[i] for i, r in enumerate(rows)}, np.log(0.5 / sums).astype(np.float32)
+    return {r[0]: i for i, r in enumerate(rows)}, logs, np.log(0.5 / sums).astype(np.float32)
 
 
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
