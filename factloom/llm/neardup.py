@@ -1,13 +1,13 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-Sets of two-word shingles (another length is a parameter) are embedded as TOKENS minwise tokens. In each of several
+Sets of two-word shingles (another length is a parameter) are embedded as minwise tokens. In each of several
 independent trees a node holds documents; a node of more than ``leaf`` documents branches by the values of the tree's
 next minwise tokens, one or two per level, so that a pair at the similarity threshold stays together in about one child. In small
 nodes all pairs are compared by sketches of the tokens, and what may be similar forms a cluster. Clusters are
-then confirmed on the full sets, read anew from the texts: pairs that aren't linked yet are compared, most similar
-first, until each is linked or refuted. Links join into components by alternating large-star and small-star steps.
+then confirmed on the full sets, read anew from the texts: the intersections of all pairs are counted exactly. Links join into components by alternating large-star and small-star steps.
 
-The number of trees follows from the target recall at the threshold. Equal sets are one vertex from the start, so a
+The number of trees follows from the threshold and RECALL: a pair at the threshold is compared on its full sets with at
+least that chance, even if its nodes are split down to the last level. Equal sets are one vertex from the start, so a
 group of copies costs its distinct texts only. Nodes that stay large when a tree's tokens are used up hold near copies:
 all their documents are compared with one of them, and those that it doesn't link with the whole node, block by block,
 which loses no pair.
@@ -22,6 +22,7 @@ their sets are equal; otherwise each row has its own. Ties go to the smallest id
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -34,11 +35,13 @@ from pyspark.sql import functions as F
 from factloom.llm.common import TwoAgeCache, join_hot, materialize
 from factloom.llm.url_filter import build_filter
 
-#: Minwise tokens of a set: TREE_TOKENS for each of TREES trees.
-TREES, TREE_TOKENS = 8, 8
-TOKENS = TREES * TREE_TOKENS
+#: The least chance that a pair at the threshold is compared on its full sets, however deep its nodes are split. Of what
+#: may be missed, the trees take all but SKETCH_PART.
+RECALL, SKETCH_PART = 0.999, 0.05
+#: Minwise tokens of a tree, and those whose low bytes are the sketch.
+TREE_TOKENS, SKETCH = 6, 64
 #: Tokens that each level of a tree branches by. Five levels split what isn't alike; nodes that are still large then are
-#: compared as they are. A pair of similarity 0.8 meets in 99.95 % of cases if three levels are needed, 98.2 % if all are.
+#: compared as they are.
 LEVELS = ((0,), (1,), (2, 3), (4,), (5,))
 #: Documents in a node or cluster at most.
 LEAF = 512
@@ -48,20 +51,34 @@ MOST_BROADCAST = 200_000
 MOST_FILTERED = 10_000_000
 
 
-def _constants() -> tuple[np.ndarray, np.ndarray]:
+@functools.cache
+def constants(tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of the tokens' hash functions."""
     rng = np.random.default_rng(20)
-    return rng.integers(1, 1 << 62, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, TOKENS, dtype=np.uint64)
+    return rng.integers(1, 1 << 62, tokens, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, tokens, dtype=np.uint64)
 
 
-FACTORS, SHIFTS = _constants()
-
-
-def expected_recall(similarity: float, trees: int = TREES, depth: int = 3) -> float:
-    """The chance that a pair meets in a node of ``depth`` levels of at least one tree."""
+def meeting(similarity: float, depth: int = len(LEVELS)) -> float:
+    """The chance that a pair meets in a node of ``depth`` levels of one tree."""
     meet = 1.0
     for level in LEVELS[:depth]:
         meet *= 1 - (1 - similarity) ** len(level)
-    return 1 - (1 - meet) ** trees
+    return meet
+
+
+def trees_needed(percent: int) -> int:
+    """The trees by which a pair at the threshold misses all nodes of the last level seldom enough for RECALL."""
+    meet = meeting(percent / 100)
+    return 1 if meet >= 1 else math.ceil(math.log((1 - RECALL) * (1 - SKETCH_PART)) / math.log1p(-meet))
+
+
+def tokens_needed(percent: int) -> int:
+    return max(SKETCH, trees_needed(percent) * TREE_TOKENS)
+
+
+def expected_recall(similarity: float, trees: int | None = None, depth: int = len(LEVELS)) -> float:
+    """The chance that a pair meets in a node of ``depth`` levels of at least one tree; by default, of those for 80 percent."""
+    return 1 - (1 - meeting(similarity, depth)) ** (trees or trees_needed(80))
 
 
 class Shingler:
@@ -87,18 +104,19 @@ class Shingler:
         return np.unique(out)
 
 
-def minwise(elements: np.ndarray) -> np.ndarray:
-    """TOKENS minwise tokens (32 bits) of a set that isn't empty."""
-    out = np.full(TOKENS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def minwise(elements: np.ndarray, tokens: int) -> np.ndarray:
+    """``tokens`` minwise tokens (32 bits) of a set that isn't empty."""
+    factors, shifts = constants(tokens)
+    out = np.full(tokens, np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for start in range(0, len(elements), 4096):
             x = elements[start : start + 4096]
-            out = np.minimum(out, ((x[:, None] ^ SHIFTS) * FACTORS).min(0))
+            out = np.minimum(out, ((x[:, None] ^ shifts) * factors).min(0))
         out ^= out >> np.uint64(31)
         return ((out * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
 
 
-def embed(docs: DataFrame, id_column: str, text: str, size: int) -> DataFrame:
+def embed(docs: DataFrame, id_column: str, text: str, size: int, tokens_of_set: int) -> DataFrame:
     """_id, n (elements), mark (16 bytes that tell sets apart) and tokens (array<int>) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,7 +126,7 @@ def embed(docs: DataFrame, id_column: str, text: str, size: int) -> DataFrame:
             for value in batch["_text"]:
                 x = shingles(value)
                 if len(x):
-                    rows.append((len(x), xxhash.xxh3_128_digest(x.tobytes()), minwise(x).view(np.int32)))
+                    rows.append((len(x), xxhash.xxh3_128_digest(x.tobytes()), minwise(x, tokens_of_set).view(np.int32)))
                 else:
                     rows.append((0, None, None))
             n, marks, tokens = zip(*rows, strict=True) if rows else ((), (), ())
@@ -119,10 +137,10 @@ def embed(docs: DataFrame, id_column: str, text: str, size: int) -> DataFrame:
     return own.mapInPandas(run, f"_id {kind}, n long, mark binary, tokens array<int>")
 
 
-def tree_rows(sets: DataFrame) -> DataFrame:
-    """A row per set and tree: mark, node (the first level's), depth, rest (the tree's tokens), sketch (all tokens' low bytes)."""
-    sketch = F.transform("tokens", lambda t: F.shiftright(F.shiftleft(t, 24), 24).cast("tinyint"))
-    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.slice("tokens", t * TREE_TOKENS + 1, F.lit(TREE_TOKENS)).alias("rest")))
+def tree_rows(sets: DataFrame, n_trees: int) -> DataFrame:
+    """A row per set and tree: mark, node (the first level's), rest (the tree's tokens), sketch (SKETCH tokens' low bytes)."""
+    sketch = F.transform(F.slice("tokens", 1, SKETCH), lambda t: F.shiftright(F.shiftleft(t, 24), 24).cast("tinyint"))
+    trees = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(t.alias("tree"), F.slice("tokens", t * TREE_TOKENS + 1, F.lit(TREE_TOKENS)).alias("rest")))
     return sets.select("mark", sketch.alias("sketch"), F.explode(trees).alias("t")).select(
         "mark", "sketch", F.col("t.rest").alias("rest"), F.xxhash64("t.tree", F.get("t.rest", F.lit(0))).alias("node"))
 
@@ -175,8 +193,14 @@ def by_group(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]
 
 
 def least_matches(threshold: float) -> int:
-    """Matching bytes of two sketches, out of TOKENS, below which a pair counts as refuted: 3.5 deviations down."""
-    return max(1, math.floor(TOKENS * threshold - 3.5 * math.sqrt(TOKENS * threshold * (1 - threshold))))
+    """Matching bytes of two sketches below which a pair counts as refuted: as many as a pair at the threshold reaches
+    but for the sketches' part of what may be missed, by the binomial distribution."""
+    most, below = (1 - RECALL) * SKETCH_PART, 0.0
+    for k in range(SKETCH + 1):
+        below += math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k)
+        if below > most:
+            return max(1, k)
+    return SKETCH
 
 
 def matches(sketches: np.ndarray) -> np.ndarray:
@@ -234,6 +258,34 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def intersections(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of the sets ``rows`` (places) with all sets, which are sorted.
+
+    Ranges of elements are taken one after another, so that a few MB are held besides the sets.
+    """
+    out = np.zeros((len(rows), len(sets)), dtype=np.int64)
+    parts = -(-sum(map(len, sets)) // 500_000)
+    bounds = [k * (1 << 64) // parts for k in range(1, parts)]
+    cuts = [np.r_[0, np.searchsorted(x, np.array(bounds, dtype=np.uint64)), len(x)].astype(np.int64) for x in sets]
+    for k in range(parts):
+        own = [x[c[k] : c[k + 1]] for x, c in zip(sets, cuts, strict=True)]
+        places = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        _, column, counts = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        shared = counts[column] > 1
+        places, column = places[shared], (np.cumsum(counts > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        places, column = places[order], column[order]
+        for start in range(0, int((counts > 1).sum()), 4096):
+            a, b = np.searchsorted(column, [start, start + 4096])
+            # sums of at most 4096 ones are exact
+            one = np.zeros((len(sets), int(column[b - 1]) - start + 1), dtype=np.float32)
+            one[places[a:b], column[a:b] - start] = 1
+            out += (one[rows] @ one.T).astype(np.int64)
+    # elements of one set only were left out
+    out[np.arange(len(rows)), rows] = [len(sets[k]) for k in rows]
+    return out
+
+
 def confirm(members: DataFrame, percent: int, size: int, side: bool) -> DataFrame:
     """Links (a, b) between the sets of each cluster, confirmed on the full sets.
 
@@ -256,8 +308,10 @@ def confirm(members: DataFrame, percent: int, size: int, side: bool) -> DataFram
                     marks.append(mark)
             if len(sets) < 2:
                 continue
-            sketches = np.stack([minwise(x).astype(np.uint8) for x in sets])
-            likely = np.triu(matches(sketches), 1)
+            lengths = np.array([len(x) for x in sets])
+            own = np.flatnonzero(np.array(sides) == 0) if side else np.arange(len(sets))
+            both = intersections(sets, own)
+            near = 100 * both >= percent * (lengths[own][:, None] + lengths[None, :] - both)
             parent = list(range(len(sets)))
 
             def root(k: int, parent=parent) -> int:
@@ -267,15 +321,14 @@ def confirm(members: DataFrame, percent: int, size: int, side: bool) -> DataFram
                 return k
 
             out = []
-            rows, columns = np.nonzero(likely >= least_matches(percent / 100))
-            for k in np.argsort(-likely[rows, columns], kind="stable"):
-                i, j = int(rows[k]), int(columns[k])
-                if side and sides[i] and sides[j]:
-                    continue
+            for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+                i = int(own[i])
                 a, b = root(i), root(j)
-                if a != b and similar(sets[i], sets[j], percent):
+                if a != b:
                     parent[a] = b
                     out.append((marks[i], marks[j]))
+                    if len(out) == len(sets) - 1:
+                        break
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
@@ -354,10 +407,10 @@ def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, leaf: int = LEAF) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest id of its component) and kept."""
-    sets = materialize(embed(docs, id_column, text, size))
+    sets = materialize(embed(docs, id_column, text, size, tokens_needed(percent)))
     # equal sets are one vertex; its id is the smallest
     distinct = materialize(sets.filter("n > 0").groupBy("mark").agg(F.min("_id").alias("_id"), F.first("tokens").alias("tokens")))
-    small, heavy = grow(tree_rows(distinct), leaf)
+    small, heavy = grow(tree_rows(distinct, trees_needed(percent)), leaf)
 
     found = materialize(clusters(small, least_matches(percent / 100)))
     own = materialize(heavy.select("node", "mark").distinct()) if heavy is not None else None

@@ -1,9 +1,12 @@
 """The chosen-path join against brute force."""
 
+import math
 import random
 import re
 
+import numpy as np
 import pytest
+import xxhash
 
 from factloom.llm import neardup
 
@@ -72,3 +75,32 @@ def test_repeated_rows_and_empty_table(spark):
 
 def test_recall_is_on_target():
     assert neardup.expected_recall(0.8) > 0.999 and neardup.expected_recall(0.9) > 0.9999
+
+
+def test_recall_is_on_target_in_deep_nodes():
+    """All levels may be needed; trees and sketches together miss no more than the target allows."""
+    for percent in (50, 80, 90):
+        s, least = percent / 100, neardup.least_matches(percent / 100)
+        refuted = sum(math.comb(neardup.SKETCH, k) * s**k * (1 - s) ** (neardup.SKETCH - k) for k in range(least))
+        assert neardup.expected_recall(s, neardup.trees_needed(percent), len(neardup.LEVELS)) - refuted >= neardup.RECALL >= 0.999
+    assert neardup.expected_recall(0.8, depth=len(neardup.LEVELS)) > 0.999
+
+
+def test_confirming_has_no_sketch_cut(spark, monkeypatch):
+    """Pairs of a large node are compared on their full sets, whatever their sketches say."""
+    monkeypatch.setattr(neardup, "least_matches", lambda threshold: 10**6)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(f"m{k}", " ".join([*words[:-1], f"x{k}"])) for k in range(5)]
+    shingles = neardup.Shingler(2)
+    members = [(1, bytearray(xxhash.xxh3_128_digest(shingles(t).tobytes())), t, 0) for _, t in rows]
+    frame = spark.createDataFrame(members, "cluster long, mark binary, _text string, side int")
+    assert neardup.confirm(frame, 80, 2, False).count() == len(rows) - 1
+    assert neardup.confirm(frame, 80, 2, True).count() == len(rows) - 1
+
+
+def test_intersections_are_exact():
+    rng = np.random.default_rng(1)
+    universe = rng.integers(0, 1 << 63, 90_000, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.choice(universe, n)) for n in (1, 5, 700, 60_000, 400_000, 300_000)]
+    got = neardup.intersections(sets, np.array([2, 4, 5]))
+    assert got.tolist() == [[len(np.intersect1d(sets[i], x)) for x in sets] for i in (2, 4, 5)]
