@@ -400,6 +400,14 @@ def cbom_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crypto.dependencies(ops, parts).select("operation_id", F.array_join("depends_on", ",").alias("depends_on"))
 
 
+@register("cbom_dependencies_whole")
+def cbom_dependencies_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9 over all orders; ``cbom_dependencies`` takes every tenth customer, as its SQL does."""
+    ops = t(spark, sf_dir, "orders").groupBy(F.concat(F.lit("op"), F.col("o_custkey").cast("string")).alias("operation_id")).agg(F.collect_set("o_orderkey").alias("slice_ids"))
+    parts = t(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("material_id")).agg(F.collect_set("l_orderkey").alias("slice_ids"))
+    return crypto.dependencies(ops, parts).select("operation_id", F.array_join("depends_on", ",").alias("depends_on"))
+
+
 @register("identifier_tokens", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS n FROM documents")
 def identifier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))).cast("long").alias("n"))

@@ -5,6 +5,7 @@ import xml.etree.ElementTree as ET
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import queries
 from factloom.functions import scalars, text
 from factloom.operators import aggregates, crypto, exports, frontends, graph, joins, rules, taint
 from factloom.sources import files
@@ -199,3 +200,15 @@ def test_merges(spark):
     lists = spark.createDataFrame([([["a", "b"], ["b", "c"]],)], "x array<array<string>>")
     assert lists.select(aggregates.guards("x", True).alias("y")).first().y == ["b"]
     assert lists.select(aggregates.guards("x", False).alias("y")).first().y == ["a", "b", "c"]
+
+
+def test_dependencies_of_all_orders(spark, tmp_path):
+    orders, items = [(k, k % 23) for k in range(60)], [(k * 7 % 60, k % 31) for k in range(200)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    expected = {}
+    for order, customer in orders:
+        for part in (p for o, p in items if o == order):
+            expected.setdefault(f"op{customer}", set()).add(f"p{part}")
+    got = {r.operation_id: r.depends_on for r in queries.QUERIES["cbom_dependencies_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: ",".join(sorted(v)) for k, v in expected.items()} and len(got) == 23
