@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, mixing, neardup, pairwise_quality, toxicity
-from factloom.llm.common import materialize, table
+from factloom.llm.common import free_name, materialize, table
 from factloom.llm.queries import tokenizer_path
 
 #: Words in a shingle of the near-duplicate stage.
@@ -23,16 +23,26 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pairwise_quality.keep_good(docs, pairwise_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents as a table with a column that numbers the rows, and its name: ids may be null or repeated."""
+    row = free_name(docs.columns, "_row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id."""
-    found = neardup.find(docs, size=SHINGLE, percent=80)
-    return docs.join(found.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """One row of each group of near duplicates: that with the smallest id, null being the last."""
+    rows, row = numbered(docs)
+    found = neardup.find(rows, size=SHINGLE, percent=80, row=row)
+    return rows.join(found.filter("kept").select(row), row, "left_semi").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it; rows of one id are taken equally often."""
-    copies = mixing.mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    """Each row as often as the mix of sources takes it. The draw is by id and text, so that the rows' order doesn't matter."""
+    rows, row = numbered(docs)
+    draw = free_name(rows.columns, "_draw")
+    copies = mixing.mix(rows.withColumn(draw, F.xxhash64("doc_id", "text")), id_column=draw, row=row).filter("copies > 0")
+    taken = copies.select(row, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(row)
+    return rows.join(taken, row).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,11 +108,12 @@ def round_classes(classes: DataFrame, cap: int, rounds: int = 10) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text",
-        weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, rate, copies and taken (words, repeats counted)."""
+        weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, row: str | None = None) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, rate, copies, taken (words, repeats counted) and ``row``, if given."""
     key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
     sized = materialize(docs.select(
-        F.col(id_column).alias("doc_id"), F.col(source).alias("source"), key.alias("_key"), F.size(words(F.col(text))).cast("long").alias("size")))
+        F.col(id_column).alias("doc_id"), F.col(source).alias("source"), key.alias("_key"), F.size(words(F.col(text))).cast("long").alias("size"),
+        *([] if row is None else [F.col(row).alias("_row_")])))
     histogram = materialize(sized.groupBy("_key", "size").agg(F.count("*").alias("n")))
     sources = histogram.groupBy("_key").agg(
         F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("_n"),
@@ -138,5 +139,6 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text
     per_doc = (whole + (F.col("_nth") <= F.col("copies") - whole * F.col("n")).cast("long")).cast("long")
     return (
         salted.withColumn("_nth", nth).join(rounded, ["_key", "size", "salt"])
-        .select("doc_id", "source", "size", "source_size", "target", "rate", per_doc.alias("copies"), (per_doc * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "rate", per_doc.alias("copies"), (per_doc * F.col("size")).alias("taken"),
+                *([] if row is None else [F.col("_row_").alias(row)]))
     )

@@ -17,7 +17,8 @@ per tree, and the texts of documents in clusters only.
 
 Defined cases: A-Z are lower-cased; words are separated by ASCII white space. With fewer words than a shingle the whole
 sequence is the only element; without words the set is empty and linked with nothing. Equal ids are one vertex if
-their sets are equal; otherwise each row has its own. Ties go to the smallest id; an empty table gives no rows.
+their sets are equal; otherwise each row has its own. Ties go to the smallest id, a null id is the last; a component of
+null ids only has a null id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -116,8 +117,8 @@ def minwise(elements: np.ndarray, tokens: int) -> np.ndarray:
         return ((out * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
 
 
-def embed(docs: DataFrame, id_column: str, text: str, size: int, tokens_of_set: int) -> DataFrame:
-    """_id, n (elements), mark (16 bytes that tell sets apart) and tokens (array<int>) of every row."""
+def embed(own: DataFrame, size: int, tokens_of_set: int) -> DataFrame:
+    """For rows (_id, _key, _text): _id, _key, n (elements), mark (16 bytes that tell sets apart) and tokens (array<int>) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(size)
@@ -130,11 +131,10 @@ def embed(docs: DataFrame, id_column: str, text: str, size: int, tokens_of_set:
                 else:
                     rows.append((0, None, None))
             n, marks, tokens = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"_id": batch["_id"], "n": np.array(n, dtype=np.int64), "mark": list(marks), "tokens": list(tokens)})
+            yield pd.DataFrame({"_id": batch["_id"], "_key": batch["_key"], "n": np.array(n, dtype=np.int64), "mark": list(marks), "tokens": list(tokens)})
 
-    own = docs.select(docs[id_column].alias("_id"), docs[text].alias("_text"))
     kind = own.schema["_id"].dataType.simpleString()
-    return own.mapInPandas(run, f"_id {kind}, n long, mark binary, tokens array<int>")
+    return own.mapInPandas(run, f"_id {kind}, _key long, n long, mark binary, tokens array<int>")
 
 
 def tree_rows(sets: DataFrame, n_trees: int) -> DataFrame:
@@ -348,7 +348,12 @@ def heavy_links(own: DataFrame, texts: DataFrame, leaf: int, percent: int, size:
         shingles = Shingler(size)
         firsts = TwoAgeCache(lambda text: shingles(text), 64)
         for frame in frames:
-            near = [similar(firsts[a], shingles(b), percent) for a, b in zip(frame["_first_text"], frame["_text"], strict=True)]
+            near = []
+            for a, b, first_mark, mark in zip(frame["_first_text"], frame["_text"], frame["first"], frame["mark"], strict=True):
+                x, y = firsts[a], shingles(b)
+                # keys of rows may clash
+                own = xxhash.xxh3_128_digest(x.tobytes()) == first_mark and xxhash.xxh3_128_digest(y.tobytes()) == mark
+                near.append(own and similar(x, y, percent))
             yield pd.DataFrame({"first": frame["first"], "mark": frame["mark"], "near": near})
 
     firsts = texts.join(first.select(F.col("first").alias("mark")).distinct(), "mark", "left_semi").select(F.col("mark").alias("first"), F.col("_text").alias("_first_text"))
@@ -394,41 +399,52 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (mark, _id) with each id's text.
+    """``wanted`` (mark, own) with the text of each row ``own``.
 
-    A Bloom filter of the ids, if it fits its bound, keeps other documents' texts out of the shuffle; the join is exact.
+    A Bloom filter of the rows' keys, if it fits its bound, keeps other documents' texts out of the shuffle; the join is exact.
     """
     n = wanted.count()
     if 0 < n <= MOST_FILTERED:
-        own = build_filter(wanted.select(F.col("_id").cast("string").alias("key")), n, 0.01, 11)
-        docs = docs.filter(own.has(F.col("_id").cast("string")))
-    return wanted.join(docs, "_id").select("mark", "_text")
+        own = build_filter(wanted.select(F.col("own._key").cast("string").alias("key")), n, 0.01, 11)
+        docs = docs.filter(own.has(F.col("_key").cast("string")))
+    rows = wanted.select("mark", F.col("own._key").alias("_key"), F.col("own._id").alias("_own_id"))
+    return rows.join(docs, "_key").filter(F.col("_own_id").eqNullSafe(F.col("_id"))).select("mark", "_text")
 
 
-def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, leaf: int = LEAF) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest id of its component) and kept."""
-    sets = materialize(embed(docs, id_column, text, size, tokens_needed(percent)))
-    # equal sets are one vertex; its id is the smallest
-    distinct = materialize(sets.filter("n > 0").groupBy("mark").agg(F.min("_id").alias("_id"), F.first("tokens").alias("tokens")))
+def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, leaf: int = LEAF, row: str | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest id of its component) and kept.
+
+    ``row`` may name a stored column of unique longs. It's added to the result then, and one row of each component is kept.
+    """
+    # rows are found again by their ids and texts, which repeat for equal rows only; ids may be null
+    key = F.xxhash64(docs[id_column], docs[text]) if row is None else docs[row]
+    rows = docs.select(docs[id_column].alias("_id"), key.alias("_key"), docs[text].alias("_text"))
+    sets = materialize(embed(rows, size, tokens_needed(percent)))
+    itself = F.struct(F.col("_id").isNull().alias("nil"), "_id", "_key")
+    # equal sets are one vertex; its row is that with the smallest id
+    distinct = materialize(sets.filter("n > 0").groupBy("mark").agg(F.min(itself).alias("own"), F.first("tokens").alias("tokens")))
     small, heavy = grow(tree_rows(distinct, trees_needed(percent)), leaf)
 
     found = materialize(clusters(small, least_matches(percent / 100)))
     own = materialize(heavy.select("node", "mark").distinct()) if heavy is not None else None
     # texts are fetched once, of the sets that are to be compared only
     wanted = found.select("mark") if own is None else found.select("mark").unionByName(own.select("mark"))
-    texts = materialize(fetch(docs.select(docs[id_column].alias("_id"), docs[text].alias("_text")), materialize(distinct.select("mark", "_id").join(wanted.distinct(), "mark", "left_semi"))))
+    texts = materialize(fetch(rows, materialize(distinct.select("mark", "own").join(wanted.distinct(), "mark", "left_semi"))))
     links = confirm(found.join(texts, "mark").withColumn("side", F.lit(0)), percent, size, False)
     if own is not None:
         links = links.unionByName(heavy_links(own, texts, leaf, percent, size))
     roots = components(materialize(links))
-    # a component's id is the smallest of its vertices' ids
-    of_mark = distinct.select("mark", "_id").join(roots, "mark").select("mark", "_id", "root")
-    roots_too = distinct.select("mark", "_id").join(roots.select(F.col("root").alias("mark")).distinct(), "mark", "left_semi").select("mark", "_id", F.col("mark").alias("root"))
+    # a component's row is the smallest of its vertices' rows
+    of_mark = distinct.select("mark", "own").join(roots, "mark").select("mark", "own", "root")
+    roots_too = distinct.select("mark", "own").join(roots.select(F.col("root").alias("mark")).distinct(), "mark", "left_semi").select("mark", "own", F.col("mark").alias("root"))
     linked = materialize(of_mark.unionByName(roots_too))
-    smallest = linked.groupBy("root").agg(F.min("_id").alias("_c"))
+    smallest = linked.groupBy("root").agg(F.min("own").alias("_c"))
     per_mark = linked.join(smallest, "root").select("mark", "_c")
-    per_mark = distinct.select("mark", "_id").join(per_mark, "mark", "left").select("mark", F.coalesce("_c", "_id").alias("_component"))
+    per_mark = distinct.select("mark", "own").join(per_mark, "mark", "left").select("mark", F.coalesce("_c", "own").alias("_component"))
     counts = sets.filter("n > 0").groupBy("mark").agg(F.count("*").alias("_n"))
-    out = join_hot(sets.select("_id", "n", "mark"), materialize(per_mark.join(counts, "mark")), "mark", "_n")
-    component = F.coalesce("_component", "_id")
-    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+    out = join_hot(sets.select("_id", "_key", "n", "mark"), materialize(per_mark.join(counts, "mark")), "mark", "_n")
+    component = F.when(F.col("_component").isNull(), F.col("_id")).otherwise(F.col("_component._id"))
+    columns = [F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")]
+    if row is None:
+        return out.select(*columns, F.col("_id").eqNullSafe(component).alias("kept"))
+    return out.select(*columns, (F.col("_component").isNull() | (F.col("_key") == F.col("_component._key"))).alias("kept"), F.col("_key").alias(row))

@@ -104,3 +104,10 @@ def test_intersections_are_exact():
     sets = [np.unique(rng.choice(universe, n)) for n in (1, 5, 700, 60_000, 400_000, 300_000)]
     got = neardup.intersections(sets, np.array([2, 4, 5]))
     assert got.tolist() == [[len(np.intersect1d(sets[i], x)) for x in sets] for i in (2, 4, 5)]
+
+
+def test_null_ids_are_linked(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words[:-1], "x"])), (3, " ".join([*words[:-2], "y", "z"]))]
+    got = neardup.find(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(None, 3, False), (3, 3, True)}

@@ -58,3 +58,31 @@ def test_columns_with_clashing_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, copies int, mark string")
     for _, stage in corpus_pipeline.STAGES[2:4]:
         assert stage(spark, docs, "").columns == docs.columns
+
+
+ODD = "doc_id long, text string, source string"
+
+
+def odd_rows():
+    """Null ids, repeated rows and an id with two texts, of which one is a near copy of a smaller id."""
+    base = [[f"t{k}w{i}" for i in range(60)] for k in range(6)]
+    near = base[0][:-1] + ["other"]
+    return [(1, " ".join(base[0]), "s"), (5, " ".join(near), "s"), (5, " ".join(base[1]), "s"),
+            (7, " ".join(base[2]), "s"), (7, " ".join(base[2]), "s"), (None, " ".join(base[3]), "s"), (None, " ".join(base[4]), "s"),
+            (None, " ".join(base[4][:-1] + ["other"]), "s"), (None, " ".join(near), "s"), (None, None, "s"), (None, " ".join(base[5]), "s"), (9, " ".join(base[5]), "s")]
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = odd_rows()
+    got = Counter(tuple(r) for r in corpus_pipeline.distinct(spark, spark.createDataFrame(rows, ODD), "").collect())
+    pair = [got.pop(rows[k], 0) for k in (6, 7)]
+    assert sorted(pair) == [0, 1]
+    assert got == Counter(rows[k] for k in (0, 2, 3, 5, 9, 11))
+
+
+def test_mixing_keeps_null_and_repeated_ids_apart(spark):
+    rows = [(i, "a b c d", "s") for i in (None, None, None, 4, 4, 5)]
+    got = corpus_pipeline.mixed(spark, spark.createDataFrame(rows, ODD), "").collect()
+    # one source: its target is one and a half times its size, nine rows of four words
+    assert len(got) == 9 and max(Counter(r.doc_id for r in got)[i] for i in (4, 5)) <= 4
+    assert 3 <= sum(r.doc_id is None for r in got) <= 6
