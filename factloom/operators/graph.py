@@ -24,23 +24,46 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def reach(edges: DataFrame, starts: DataFrame, most: int = 100, group: str | None = None, back: bool = False) -> DataFrame:
+def _merged(tiers: list[list[DataFrame]], level: DataFrame, width: int = 32) -> list[list[DataFrame]]:
+    """``tiers`` with one more level; ``width`` tables of a tier become one of the next, so that long walks read few tables."""
+    tiers = [list(x) for x in tiers]
+    tiers[0].append(level)
+    for k, tier in enumerate(tiers):
+        if len(tier) < width:
+            break
+        if k + 1 == len(tiers):
+            tiers.append([])
+        tiers[k + 1].append(stored(_all(tier)))
+        tier.clear()
+    return tiers
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for x in tables[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def reach(edges: DataFrame, starts: DataFrame, group: str | None = None, back: bool = False) -> DataFrame:
     """G1: (group,) id and depth of all nodes that the starts reach, by a frontier that joins the edges level by level.
 
-    Each level is written once; a level reads the edges and the frontier, not the earlier levels' plans.
+    Each level is written once, and once more for 32 levels, 1024 and so on; a level reads the edges and the frontier, not
+    the earlier levels' plans. The walk ends when nothing new is found, however long the chains are.
     """
     a, b = ("target_id", "source_id") if back else ("source_id", "target_id")
     on = [group] if group else []
     steps = stored(edges.select(F.col(a).alias("id"), F.col(b).alias("_next")).distinct())
     frontier = stored(starts.select(*on, "id").distinct().withColumn("depth", F.lit(0)))
-    seen = frontier
-    for depth in range(1, most + 1):
+    tiers, depth = [[frontier]], 0
+    while True:
+        depth += 1
+        seen = _all([x for tier in tiers for x in tier])
         step = frontier.join(steps, "id").select(*on, F.col("_next").alias("id")).distinct()
         frontier = stored(step.join(seen.select(*on, "id"), [*on, "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.limit(1).count():
             return seen
-        seen = seen.unionByName(frontier)
-    return seen
+        tiers = _merged(tiers, frontier)
 
 
 def nearest(reached: DataFrame, most: int = 64, group: str | None = None) -> DataFrame:

@@ -212,3 +212,11 @@ def test_dependencies_of_all_orders(spark, tmp_path):
             expected.setdefault(f"op{customer}", set()).add(f"p{part}")
     got = {r.operation_id: r.depends_on for r in queries.QUERIES["cbom_dependencies_whole"](spark, str(tmp_path)).collect()}
     assert got == {k: ",".join(sorted(v)) for k, v in expected.items()} and len(got) == 23
+
+
+def test_long_chains_are_walked_to_their_ends(spark, monkeypatch):
+    # levels are kept as local rows, for speed
+    monkeypatch.setattr(graph, "stored", lambda df: spark.createDataFrame(df.collect(), df.schema).coalesce(1))
+    edges = spark.createDataFrame([(str(k), str(k + 1)) for k in range(103)], "source_id string, target_id string").coalesce(1)
+    got = {(r.id, r.depth) for r in graph.reach(edges, spark.createDataFrame([("0",)], "id string").coalesce(1)).collect()}
+    assert got == {(str(k), k) for k in range(104)}
