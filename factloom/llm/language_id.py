@@ -122,16 +122,36 @@ def train(docs: DataFrame, usable: Column, id_column: str = "doc_id", text: str
 
     words = chosen.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = materialize(words)
-    bound = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    pieces = F.flatten(F.array(*[
-        F.when(F.length(bound) >= n, F.transform(F.sequence(F.lit(1), F.length(bound) - n + 1), lambda i, n=n: F.substring(bound, i, F.lit(n)))).otherwise(F.array())
-        for n in range(1, MOST + 1)
-    ]))
-    # of words of over 40 letters, which are seldom words, n-grams aren't counted; they are scored all the same
-    grams = words.filter(F.length("word") <= 40).select("lang", F.explode(pieces).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter = Counter()
+        for batch in batches:
+            for lang, word, n in zip(batch["lang"], batch["word"], batch["n"], strict=True):
+                # in scripts without spaces a run of letters is a clause, and may be long
+                for gram in grams_of(word):
+                    found[lang, gram] += n
+                    if len(found) >= 200_000:
+                        yield _counted(found)
+                        found = Counter()
+        if found:
+            yield _counted(found)
+
+    grams = words.mapInPandas(cut, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return Model(languages, *_table(words, "word", languages)[:2], *_table(grams, "gram", languages))
 
 
+def grams_of(word: str) -> Iterator[str]:
+    """All n-grams of a word with its borders, of 1 to MOST characters."""
+    bound = f"^{word}$"
+    for n in range(1, MOST + 1):
+        for i in range(len(bound) - n + 1):
+            yield bound[i : i + n]
+
+
+def _counted(found: Counter) -> pd.DataFrame:
+    return pd.DataFrame({"lang": [x[0] for x in found], "gram": [x[1] for x in found], "n": list(found.values())})
+
+
 def _table(counts: DataFrame, key: str, languages: tuple[str, ...]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """Keys seen twice or more with their rows, the rows' smoothed log frequencies, and those of an unseen key."""
     one = counts.groupBy(key).pivot("lang", list(languages)).agg(F.sum("n")).fillna(0)

@@ -213,3 +213,14 @@ def test_cache_keeps_two_ages():
     cache = TwoAgeCache(lambda k: made.append(k) or k, 2)
     assert [cache[k] for k in "abcabd"] == list("abcabd")
     assert len(cache) + len(cache.old) <= 4
+
+
+def test_languages_without_spaces(spark):
+    """Runs of over 40 letters teach n-grams; here there are no shorter ones."""
+    rng = np.random.default_rng(3)
+    letters = {"ja": [chr(0x3042 + k) for k in range(40)], "th": [chr(0x0E01 + k) for k in range(40)]}
+    run = lambda lang: "".join(rng.choice(letters[lang], 60))
+    rows = [(k, run(lang), lang) for k, lang in enumerate(["ja", "th"] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.lit(True))
+    assert [language_id.Scorer(model).predict(run(x))[0] for x in ("ja", "th", "ja", "th")] == ["ja", "th", "ja", "th"]
