@@ -1,24 +1,31 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-Sets of two-word shingles (another length is a parameter) are embedded as minwise tokens. In each of several
-independent trees a node holds documents; a node of more than ``leaf`` documents branches by the values of the tree's
-next minwise tokens, one or two per level, so that a pair at the similarity threshold stays together in about one child. In small
-nodes all pairs are compared by sketches of the tokens, and what may be similar forms a cluster. Clusters are
-then confirmed on the full sets, read anew from the texts: the intersections of all pairs are counted exactly. Links join into components by alternating large-star and small-star steps.
+Sets of word shingles (five words; another length is a parameter) are embedded as minwise tokens. In each of several
+independent trees a node holds sets; a node of more than ``leaf`` sets branches by the values of the tree's next tokens:
+one token at the first two levels, then several, so many that a pair at the threshold is expected in more than one child
+and its chance to stay together doesn't vanish however deep the recursion goes. Nodes are split until they are small.
+A node that its next tokens leave whole (one of them has the same value in half of the sets or more) holds near copies
+mostly and is taken as it is.
+
+In small nodes all pairs are compared by sketches of the tokens, and what may be similar is joined to candidate groups;
+those of all trees, and the whole nodes, are merged by their ids alone. Then the texts are fetched, once for each set in
+a group. In groups of at most ``leaf`` sets the intersections of all pairs are counted exactly. In a larger group all
+sets are compared with its most central one; those that it doesn't link are compared by their sketches with all of the
+group, first with the best few and then, if still unlinked with a candidate, block by block on the full sets. No
+candidate pair of two components is left uncompared. Links join into components by alternating large-star and small-star
+steps. Equal sets are one vertex from the start, so a group of copies costs its distinct texts only.
 
 The number of trees follows from the threshold and RECALL: a pair at the threshold is compared on its full sets with at
-least that chance, even if its nodes are split down to the last level. Equal sets are one vertex from the start, so a
-group of copies costs its distinct texts only. Nodes that stay large when a tree's tokens are used up hold near copies:
-all their documents are compared with one of them, and those that it doesn't link with the whole node, block by block,
-which loses no pair.
+least that chance, whatever the depth of its nodes, the sketch counted in. After a tree's own tokens it goes on with
+those of the next tree; such nodes are of one tree still, but no longer independent of the next.
 
-Memory: a task holds one node or cluster of at most ``leaf`` documents. Shuffled rows: (node, document, sketch, tokens)
-per tree, and the texts of documents in clusters only.
+Memory: a task holds one node or group of at most ``leaf`` sets, or two blocks of SKETCH_BLOCK sketches. Shuffled rows:
+(node, id, sketch) of 32 bytes per tree, and the texts of sets in groups.
 
 Defined cases: A-Z are lower-cased; words are separated by ASCII white space. With fewer words than a shingle the whole
 sequence is the only element; without words the set is empty and linked with nothing. Equal ids are one vertex if
 their sets are equal; otherwise each row has its own. Ties go to the smallest id, a null id is the last; a component of
-null ids only has a null id. An empty table gives no rows.
+null ids only has a null id. An empty table gives no rows. Extra columns of any name play no part.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import TwoAgeCache, join_hot, materialize
@@ -39,16 +46,17 @@ from factloom.llm.url_filter import build_filter
 #: The least chance that a pair at the threshold is compared on its full sets, however deep its nodes are split. Of what
 #: may be missed, the trees take all but SKETCH_PART.
 RECALL, SKETCH_PART = 0.999, 0.05
-#: Minwise tokens of a tree, and those whose low bytes are the sketch.
-TREE_TOKENS, SKETCH = 6, 64
-#: Tokens that each level of a tree branches by. Five levels split what isn't alike; nodes that are still large then are
-#: compared as they are.
-LEVELS = ((0,), (1,), (2, 3), (4,), (5,))
-#: Documents in a node or cluster at most.
+#: Symbols of a sketch: the two low bits of so many tokens.
+SKETCH = 64
+#: Levels of a tree by one token each, and those after them by several.
+SINGLE, SEVERAL = 2, 3
+#: Sets in a node or group that is compared as a whole at most.
 LEAF = 512
-#: Heavy nodes at most for which their keys are broadcast (16 bytes each); more are joined by a shuffle.
+#: Sketches in a block (24 bytes each), and a set's best candidates that are tried before blocks of full sets.
+SKETCH_BLOCK, BEST = 4096, 4
+#: Nodes at most whose keys are broadcast (16 bytes each); with more, only those of most rows are.
 MOST_BROADCAST = 200_000
-#: Ids at most for which a Bloom filter (10 bits each) goes before the texts' join.
+#: Ids at most for which a Bloom filter (10 bits each) goes before the texts' join; it only spares work.
 MOST_FILTERED = 10_000_000
 
 
@@ -59,27 +67,50 @@ def constants(tokens: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 62, tokens, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, tokens, dtype=np.uint64)
 
 
-def meeting(similarity: float, depth: int = len(LEVELS)) -> float:
-    """The chance that a pair meets in a node of ``depth`` levels of one tree."""
-    meet = 1.0
-    for level in LEVELS[:depth]:
-        meet *= 1 - (1 - similarity) ** len(level)
-    return meet
+def width(percent: int) -> int:
+    """Tokens of a level after the single ones: a pair at the threshold is expected in 1.6 children at least."""
+    return max(2, math.ceil(160 / percent))
+
+
+def tree_tokens(percent: int) -> int:
+    return SINGLE + SEVERAL * width(percent)
+
+
+def meeting(similarity: float, percent: int) -> float:
+    """The least chance, over all depths, that a pair meets in a node of one tree for the threshold ``percent``.
+
+    That is the survival of a branching process: at a level of k tokens a pair goes on in as many children as tokens agree.
+    """
+    chance = 1.0
+    for _ in range(10_000):
+        chance = 1 - (1 - similarity * chance) ** width(percent)
+    return chance * similarity**SINGLE
 
 
 def trees_needed(percent: int) -> int:
-    """The trees by which a pair at the threshold misses all nodes of the last level seldom enough for RECALL."""
-    meet = meeting(percent / 100)
+    """The trees by which a pair at the threshold misses all nodes seldom enough for RECALL."""
+    meet = meeting(percent / 100, percent)
     return 1 if meet >= 1 else math.ceil(math.log((1 - RECALL) * (1 - SKETCH_PART)) / math.log1p(-meet))
 
 
 def tokens_needed(percent: int) -> int:
-    return max(SKETCH, trees_needed(percent) * TREE_TOKENS)
+    return max(SKETCH, trees_needed(percent) * tree_tokens(percent))
 
 
-def expected_recall(similarity: float, trees: int | None = None, depth: int = len(LEVELS)) -> float:
-    """The chance that a pair meets in a node of ``depth`` levels of at least one tree; by default, of those for 80 percent."""
-    return 1 - (1 - meeting(similarity, depth)) ** (trees or trees_needed(80))
+def expected_recall(similarity: float, percent: int) -> float:
+    """The least chance that a pair meets in a node of at least one tree."""
+    return 1 - (1 - meeting(similarity, percent)) ** trees_needed(percent)
+
+
+def least_matches(threshold: float) -> int:
+    """Matching symbols of two sketches below which a pair counts as refuted: as many as a pair at the threshold reaches
+    but for the sketches' part of what may be missed, by the binomial distribution. Other tokens match in one of four."""
+    most, below, match = (1 - RECALL) * SKETCH_PART, 0.0, threshold + (1 - threshold) / 4
+    for k in range(SKETCH + 1):
+        below += math.comb(SKETCH, k) * match**k * (1 - match) ** (SKETCH - k)
+        if below > most:
+            return max(1, k)
+    return SKETCH
 
 
 class Shingler:
@@ -105,6 +136,11 @@ class Shingler:
         return np.unique(out)
 
 
+def mark_of(elements: np.ndarray) -> bytes:
+    """16 bytes that tell sets apart."""
+    return xxhash.xxh3_128_digest(elements.tobytes())
+
+
 def minwise(elements: np.ndarray, tokens: int) -> np.ndarray:
     """``tokens`` minwise tokens (32 bits) of a set that isn't empty."""
     factors, shifts = constants(tokens)
@@ -117,8 +153,20 @@ def minwise(elements: np.ndarray, tokens: int) -> np.ndarray:
         return ((out * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
 
 
+def planes(tokens: np.ndarray) -> tuple[int, int]:
+    """The sketch: the lowest and the second bits of the first SKETCH tokens, as two longs."""
+    low = tokens[:SKETCH]
+    return tuple(int(np.packbits((low >> k & 1).astype(np.uint8)).view(np.int64)[0]) for k in (np.uint32(0), np.uint32(1)))
+
+
+def matches(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> np.ndarray:
+    """The number of equal symbols of each sketch with each other one."""
+    differ = (low[:, None] ^ other_low[None, :]) | (high[:, None] ^ other_high[None, :])
+    return SKETCH - np.bitwise_count(differ.view(np.uint64)).astype(np.int16)
+
+
 def embed(own: DataFrame, size: int, tokens_of_set: int) -> DataFrame:
-    """For rows (_id, _key, _text): _id, _key, n (elements), mark (16 bytes that tell sets apart) and tokens (array<int>) of every row."""
+    """For rows (_id, _key, _text): _id, _key, n (elements), mark, low, high (the sketch) and tokens (array<int>) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(size)
@@ -127,51 +175,71 @@ def embed(own: DataFrame, size: int, tokens_of_set: int) -> DataFrame:
             for value in batch["_text"]:
                 x = shingles(value)
                 if len(x):
-                    rows.append((len(x), xxhash.xxh3_128_digest(x.tobytes()), minwise(x, tokens_of_set).view(np.int32)))
+                    tokens = minwise(x, tokens_of_set)
+                    rows.append((len(x), mark_of(x), *planes(tokens), tokens.view(np.int32)))
                 else:
-                    rows.append((0, None, None))
-            n, marks, tokens = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"_id": batch["_id"], "_key": batch["_key"], "n": np.array(n, dtype=np.int64), "mark": list(marks), "tokens": list(tokens)})
+                    rows.append((0, None, 0, 0, None))
+            n, marks, low, high, tokens = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pd.DataFrame({"_id": batch["_id"], "_key": batch["_key"], "n": np.array(n, dtype=np.int64), "mark": list(marks),
+                                "low": np.array(low, dtype=np.int64), "high": np.array(high, dtype=np.int64), "tokens": list(tokens)})
 
     kind = own.schema["_id"].dataType.simpleString()
-    return own.mapInPandas(run, f"_id {kind}, _key long, n long, mark binary, tokens array<int>")
+    return own.mapInPandas(run, f"_id {kind}, _key long, n long, mark binary, low long, high long, tokens array<int>")
 
 
-def tree_rows(sets: DataFrame, n_trees: int) -> DataFrame:
-    """A row per set and tree: mark, node (the first level's), rest (the tree's tokens), sketch (SKETCH tokens' low bytes)."""
-    sketch = F.transform(F.slice("tokens", 1, SKETCH), lambda t: F.shiftright(F.shiftleft(t, 24), 24).cast("tinyint"))
-    trees = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(t.alias("tree"), F.slice("tokens", t * TREE_TOKENS + 1, F.lit(TREE_TOKENS)).alias("rest")))
-    return sets.select("mark", sketch.alias("sketch"), F.explode(trees).alias("t")).select(
-        "mark", "sketch", F.col("t.rest").alias("rest"), F.xxhash64("t.tree", F.get("t.rest", F.lit(0))).alias("node"))
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
-def grow(rows: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame | None]:
-    """Split nodes of over ``leaf`` rows level by level: (rows of small nodes, rows of those large at the last level).
+def _split(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``nodes`` (node, n: rows), and the others. No node's rows meet in one task."""
+    nodes = nodes.select("node", "n", F.lit(True).alias("_in"))
+    if nodes.count() <= MOST_BROADCAST:
+        found = rows.join(F.broadcast(nodes.drop("n")), "node", "left")
+    else:
+        found = join_hot(rows, nodes, "node", "n")
+    return found.filter("_in").drop("_in"), found.filter("_in is null").drop("_in")
 
-    A level's rows meet the keys of its large nodes once; only the rows of large nodes are written for the next level.
-    """
-    small: list[DataFrame] = []
-    for depth, _ in enumerate(LEVELS):
-        # only keys are counted, with map-side sums
-        heavy = materialize(rows.groupBy("node").count().filter(F.col("count") > leaf).select("node", F.lit(True).alias("_heavy")))
-        n = heavy.count()
-        if n == 0:
-            small.append(rows)
-            return _union(small), None
-        flagged = rows.join(F.broadcast(heavy) if n <= MOST_BROADCAST else heavy, "node", "left")
-        small.append(flagged.filter("_heavy is null").drop("_heavy"))
-        rows = materialize(flagged.filter("_heavy").drop("_heavy"))
-        if depth + 1 < len(LEVELS):
-            keys = F.array(*[F.xxhash64("node", F.lit(k), F.get("rest", F.lit(k))) for k in LEVELS[depth + 1]])
-            rows = rows.withColumn("node", F.explode(keys))
-    return _union(small), rows
 
+def grow(sets: DataFrame, percent: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """The trees over ``sets`` (v, low, high, tokens): rows (node, v, low, high) of small nodes, and those of nodes left whole.
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    At each level keys only are counted, with map-side sums; rows of large nodes are written for the next level.
+    """
+    trees, length, several = trees_needed(percent), tree_tokens(percent), width(percent)
+    schema = ["node", "v", "low", "high"]
+    rest = lambda tree: F.slice("tokens", tree * length + 1, F.lit(length))
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    rows = sets.select("v", "low", "high", "tokens", tree.alias("tree")).select("v", "low", "high", "tree", rest(F.col("tree")).alias("rest"))
+    rows = rows.withColumn("node", F.xxhash64("tree", F.get("rest", F.lit(0))))
+    heavy = materialize(rows.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > leaf))
+    if heavy.isEmpty():
+        return rows.select(schema), rows.select(schema).limit(0)
+    large, others = _split(rows, heavy)
+    small, whole, rows = [others.select(schema)], [], materialize(large)
+    own = [(k,) for k in range(1, SINGLE)]
+    own += [tuple(range(k, k + several)) for k in range(SINGLE, length, several)]
+    later = [tuple(range(k, min(k + several, length))) for k in range(0, length, several)]
+    for turn in range(trees):
+        if turn:  # the tree's tokens are used up
+            more = sets.select("v", "tokens").join(rows.select("v").distinct(), "v", "left_semi")
+            rows = materialize(rows.drop("rest").join(more, "v").withColumn("rest", rest(F.pmod(F.col("tree") + turn, F.lit(trees)))).drop("tokens"))
+        for level in own if turn == 0 else later:
+            keys = F.array(*[F.xxhash64("node", F.lit(turn * length + k), F.get("rest", F.lit(k))) for k in level])
+            counts = rows.select("node", F.explode(keys).alias("child")).groupBy("node", "child").agg(F.count("*").alias("m"))
+            counts = materialize(counts.filter(2 * F.col("m") >= leaf))
+            together = materialize(counts.join(heavy, "node").groupBy("node", "n").agg(F.max("m").alias("m")).filter("2 * m >= n").select("node", "n"))
+            if not together.isEmpty():
+                kept, rows = _split(rows, together)
+                whole.append(kept.select(schema))
+            children = rows.withColumn("node", F.explode(keys))
+            heavy = materialize(counts.join(together, "node", "left_anti").filter(F.col("m") > leaf).select(F.col("child").alias("node"), F.col("m").alias("n")))
+            if heavy.isEmpty():
+                return _union([*small, children.select(schema)]), _union(whole) if whole else children.select(schema).limit(0)
+            large, others = _split(children, heavy)
+            small.append(others.select(schema))
+            rows = materialize(large)
+    return _union(small), _union([*whole, rows.select(schema)])
 
 
 def by_group(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -192,25 +260,6 @@ def by_group(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]
         yield rest
 
 
-def least_matches(threshold: float) -> int:
-    """Matching bytes of two sketches below which a pair counts as refuted: as many as a pair at the threshold reaches
-    but for the sketches' part of what may be missed, by the binomial distribution."""
-    most, below = (1 - RECALL) * SKETCH_PART, 0.0
-    for k in range(SKETCH + 1):
-        below += math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k)
-        if below > most:
-            return max(1, k)
-    return SKETCH
-
-
-def matches(sketches: np.ndarray) -> np.ndarray:
-    """The number of equal bytes for each pair, in blocks."""
-    out = np.empty((len(sketches), len(sketches)), dtype=np.int16)
-    for a in range(0, len(sketches), 64):
-        out[a : a + 64] = (sketches[a : a + 64, None, :] == sketches[None, :, :]).sum(2, dtype=np.int16)
-    return out
-
-
 def connected(near: np.ndarray) -> np.ndarray:
     """For each row of a symmetric matrix the smallest row that it's connected with."""
     label = np.arange(len(near))
@@ -223,31 +272,32 @@ def connected(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def clusters(nodes: DataFrame, least: int) -> DataFrame:
-    """(cluster, mark) of rows in small nodes that sketches join with others; equal clusters of several trees once."""
+def candidates(nodes: DataFrame, least: int) -> DataFrame:
+    """(a, b): each set of a small node with the first of those that sketches join it with."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys: list[int] = []
-        marks: list[bytes] = []
+        found: list[np.ndarray] = []
         for group in by_group(frames, "node"):
-            own = group["mark"].to_numpy()
-            near = matches(np.stack(group["sketch"].to_numpy())) >= least
-            if near.sum() == len(near):
-                continue
-            label = connected(near)
-            for k in np.flatnonzero(np.bincount(label, minlength=len(label)) > 1):
-                members = sorted(set(own[label == k]))
-                if len(members) > 1:
-                    keys.extend([xxhash.xxh64_intdigest(b"".join(members)) - (1 << 63)] * len(members))
-                    marks.extend(members)
-            if len(keys) > 20_000:
-                yield pd.DataFrame({"cluster": keys, "mark": marks})
-                keys, marks = [], []
-        if keys:
-            yield pd.DataFrame({"cluster": keys, "mark": marks})
-
-    dealt = nodes.select("node", "mark", "sketch").repartition("node").sortWithinPartitions("node")
-    return dealt.mapInPandas(run, "cluster long, mark binary").distinct()
+            low, high = group["low"].to_numpy(), group["high"].to_numpy()
+            label = connected(matches(low, high, low, high) >= least)
+            joined = np.flatnonzero(label != np.arange(len(label)))
+            if len(joined):
+                v = group["v"].to_numpy()
+                found.append(np.stack([v[joined], v[label[joined]]], axis=1))
+            if len(found) > 5000:
+                yield pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+                found = []
+        if found:
+            yield pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+
+    dealt = nodes.repartition("node").sortWithinPartitions("node", "v")
+    return dealt.mapInPandas(run, "a long, b long").distinct()
+
+
+def whole_nodes(nodes: DataFrame) -> DataFrame:
+    """(a, b): each set of a node with the node's first."""
+    first = materialize(nodes.groupBy("node").agg(F.min("v").alias("b"), F.count("*").alias("n")))
+    return join_hot(nodes.select("node", F.col("v").alias("a")), first, "node", "n", "inner").filter("a != b").select("a", "b").distinct()
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -286,30 +336,32 @@ def intersections(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def confirm(members: DataFrame, percent: int, size: int, side: bool) -> DataFrame:
+def confirm(members: DataFrame, percent: int, size: int, side: bool = False) -> DataFrame:
     """Links (a, b) between the sets of each cluster, confirmed on the full sets.
 
-    ``members``: cluster, mark, _text, and side. Enough links are returned to connect what all links connect. With
+    ``members``: cluster, v, mark, _text, and side. Enough links are returned to connect what all links connect. With
     ``side`` only pairs of which one has side 0 are compared: the others meet elsewhere.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(size)
         for group in by_group(frames, "cluster"):
-            sets, sides, marks = [], [], []
+            sets, sides, ids = [], [], []
             seen = set()
-            for value, mark, one in zip(group["_text"], group["mark"], group["side"], strict=True):
+            for value, v, mark, one in zip(group["_text"], group["v"], group["mark"], group["side"], strict=True):
                 x = shingles(value)
-                # a repeated id may come with another text
-                if len(x) and mark not in seen and xxhash.xxh3_128_digest(x.tobytes()) == mark:
-                    seen.add(mark)
+                # keys of rows may clash
+                if len(x) and v not in seen and mark_of(x) == mark:
+                    seen.add(v)
                     sets.append(x)
                     sides.append(one)
-                    marks.append(mark)
+                    ids.append(v)
             if len(sets) < 2:
                 continue
             lengths = np.array([len(x) for x in sets])
             own = np.flatnonzero(np.array(sides) == 0) if side else np.arange(len(sets))
+            if not len(own):
+                continue
             both = intersections(sets, own)
             near = 100 * both >= percent * (lengths[own][:, None] + lengths[None, :] - both)
             parent = list(range(len(sets)))
@@ -326,80 +378,161 @@ def confirm(members: DataFrame, percent: int, size: int, side: bool) -> DataFram
                 a, b = root(i), root(j)
                 if a != b:
                     parent[a] = b
-                    out.append((marks[i], marks[j]))
+                    out.append((ids[i], ids[j]))
                     if len(out) == len(sets) - 1:
                         break
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
-    dealt = members.select("cluster", "mark", "_text", "side").repartition("cluster").sortWithinPartitions("cluster")
-    return dealt.mapInPandas(run, "a binary, b binary")
+    dealt = members.select("cluster", "v", "mark", "_text", "side").repartition("cluster").sortWithinPartitions("cluster", "v")
+    return dealt.mapInPandas(run, "a long, b long")
+
+
+def central(members: DataFrame) -> DataFrame:
+    """(cluster, center, n): the set of each group whose sketch is nearest to the majority of the group's, bit by bit."""
+    bit = lambda c, k: F.sum(F.shiftright(c, k).bitwiseAND(F.lit(1)))
+    sums = members.groupBy("cluster").agg(F.count("*").alias("n"), F.array(*[bit("low", k) for k in range(64)]).alias("_l"), F.array(*[bit("high", k) for k in range(64)]).alias("_h"))
+
+    def major(sums: str) -> Column:
+        bits = F.transform(sums, lambda s, k: F.when(2 * s > F.col("n"), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
+    sums = materialize(sums.select("cluster", "n", major("_l").alias("_l"), major("_h").alias("_h")))
+    met = join_hot(members, sums.withColumn("_n", F.col("n")), "cluster", "_n", "inner")
+    apart = F.bit_count(F.col("low").bitwiseXOR(F.col("_l")).bitwiseOR(F.col("high").bitwiseXOR(F.col("_h"))))
+    return met.groupBy("cluster", "n").agg(F.min(F.struct(apart.alias("apart"), "v")).alias("_c")).select("cluster", "n", F.col("_c.v").alias("center"))
 
-def heavy_links(own: DataFrame, texts: DataFrame, leaf: int, percent: int, size: int) -> DataFrame:
-    """Links within nodes that stayed large (``own``: node, mark): each set with the node's first, the rest block by block.
 
-    Nodes of several trees share their first and most of their sets; a pair of sets is compared once.
+def star(members: DataFrame, centers: DataFrame, percent: int, size: int, leaf: int) -> DataFrame:
+    """(cluster, v, center, near): whether each set of a large group is linked with its central one.
+
+    A group is dealt out in parts; each gets the center's text, and its rows pass one by one.
     """
-    first = materialize(own.groupBy("node").agg(F.min("mark").alias("first")))
-    with_first = own.join(first, "node")
 
-    def star(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(size)
-        firsts = TwoAgeCache(lambda text: shingles(text), 64)
+        at, middle = None, None
         for frame in frames:
-            near = []
-            for a, b, first_mark, mark in zip(frame["_first_text"], frame["_text"], frame["first"], frame["mark"], strict=True):
-                x, y = firsts[a], shingles(b)
-                # keys of rows may clash
-                own = xxhash.xxh3_128_digest(x.tobytes()) == first_mark and xxhash.xxh3_128_digest(y.tobytes()) == mark
-                near.append(own and similar(x, y, percent))
-            yield pd.DataFrame({"first": frame["first"], "mark": frame["mark"], "near": near})
-
-    firsts = texts.join(first.select(F.col("first").alias("mark")).distinct(), "mark", "left_semi").select(F.col("mark").alias("first"), F.col("_text").alias("_first_text"))
-    pairs = with_first.select("first", "mark").distinct().join(firsts, "first").join(texts.select("mark", "_text"), "mark")
-    compared = materialize(pairs.select("first", "mark", "_first_text", "_text").mapInPandas(star, "first binary, mark binary, near boolean"))
-    links = compared.filter(F.col("near") & (F.col("mark") != F.col("first"))).select(F.col("first").alias("a"), F.col("mark").alias("b"))
-    judged = materialize(with_first.join(compared, ["first", "mark"]))
-
-    far = judged.filter(~F.col("near"))
-    if not far.limit(1).count():
+            out = []
+            columns = [frame[c] for c in ("cluster", "_part", "v", "center", "mark", "_text")]
+            for cluster, part, v, center, mark, text in zip(*columns, strict=True):
+                x = shingles(text)
+                if mark_of(x) != mark:  # keys of rows may clash
+                    continue
+                if v == center:
+                    at, middle = (cluster, part), x
+                    if part == 0:
+                        out.append((cluster, v, center, True))
+                else:
+                    out.append((cluster, v, center, at == (cluster, part) and similar(x, middle, percent)))
+            yield pd.DataFrame(out, columns=["cluster", "v", "center", "near"])
+
+    met = join_hot(members.select("cluster", "v", "mark", "_text"), centers.select("cluster", "center", "n", F.ceil(F.col("n") / leaf).cast("int").alias("_parts")), "cluster", "n", "inner")
+    middle = F.col("v") == F.col("center")
+    parts = F.when(middle, F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("v"), F.col("_parts")).cast("int")))
+    dealt = met.withColumns({"_part": F.explode(parts), "_first": ~middle}).drop("_parts")
+    return dealt.repartition("cluster", "_part").sortWithinPartitions("cluster", "_part", "_first").mapInPandas(run, "cluster long, v long, center long, near boolean")
+
+
+def sketch_pairs(members: DataFrame, sizes: DataFrame, least: int, best: int | None) -> DataFrame:
+    """(cluster, a, b): candidates b of each set a that ``far`` marks, by sketches in blocks; its ``best`` ones of each block,
+    or those of another ``label``.
+
+    ``members``: cluster, v, low, high, far, label; ``sizes``: cluster, n, f (those far).
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in by_group(frames, "_block"):
+            far = group["_side"].to_numpy() == 0
+            low, high, v, label = (group[c].to_numpy() for c in ("low", "high", "v", "label"))
+            others, own = np.flatnonzero(~far), np.flatnonzero(far)
+            for start in range(0, len(own), 256):
+                some = own[start : start + 256]
+                score = matches(low[some], high[some], low[others], high[others])
+                score[(v[some][:, None] == v[others][None, :]) | (score < least)] = 0
+                if best is None:
+                    score[label[some][:, None] == label[others][None, :]] = 0
+                elif score.shape[1] > best:
+                    cut = -np.partition(-score, best - 1, axis=1)[:, best - 1]
+                    score[score < cut[:, None]] = 0
+                    score[np.cumsum(score > 0, axis=1) > best] = 0
+                i, j = np.nonzero(score)
+                if len(i):
+                    yield pd.DataFrame({"cluster": group["cluster"].iloc[0], "a": v[some[i]], "b": v[others[j]]})
+
+    blocks = lambda c: F.ceil(F.col(c) / SKETCH_BLOCK).cast("int")
+    dealt = join_hot(members, sizes.withColumn("_n", F.col("n")), "cluster", "_n", "inner")
+    columns = ["cluster", "v", "low", "high", "label"]
+    place = lambda c, seed: F.pmod(F.xxhash64("v", F.lit(seed)), blocks(c)).cast("int")
+    everyone = dealt.select(*columns, place("n", 1).alias("_b"), F.explode(F.sequence(F.lit(0), blocks("f") - 1)).alias("_g"), F.lit(1).alias("_side"))
+    far = dealt.filter("far").select(*columns, F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("_b"), place("f", 2).alias("_g"), F.lit(0).alias("_side"))
+    both = everyone.unionByName(far).withColumn("_block", F.xxhash64("cluster", "_b", "_g")).drop("_b", "_g")
+    return both.repartition("_block").sortWithinPartitions("_block", "_side", "v").mapInPandas(run, "cluster long, a long, b long")
+
+
+def large_links(members: DataFrame, texts: DataFrame, percent: int, size: int, leaf: int, least: int) -> DataFrame:
+    """Links within groups of over ``leaf`` sets (``members``: cluster, v, low, high; ``texts``: cluster, v, mark, _text)."""
+    centers = materialize(central(members))
+    judged = materialize(star(texts, centers, percent, size, leaf))
+    links = judged.filter("near and v != center").select(F.col("v").alias("a"), F.col("center").alias("b"))
+    sizes = materialize(judged.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("f")).filter("f > 0"))
+    if sizes.isEmpty():
+        return links
+    label = F.when(F.col("near"), F.col("center")).otherwise(F.col("v"))
+    own = materialize(members.join(judged.select("v", (~F.col("near")).alias("far"), label.alias("label")), "v"))
+    text = texts.select("v", "mark", "_text")
+    # each far set with its best candidates
+    pairs = materialize(sketch_pairs(own, sizes, least, BEST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    two = pairs.select(F.xxhash64("a", "b").alias("cluster"), F.explode(F.array("a", "b")).alias("v")).join(text, "v")
+    tried = materialize(confirm(two.withColumn("side", F.lit(0)), percent, size))
+    # far sets that still have a candidate in another component, with all their candidates, block by block
+    links = links.unionByName(tried)
+    roots = components(links)
+    own = materialize(own.drop("label").join(roots, "v", "left").withColumn("label", F.coalesce("root", "v")).drop("root"))
+    rest = materialize(sketch_pairs(own, sizes, least, None))
+    if rest.isEmpty():
         return links
-    # rows that the first doesn't link, in blocks, against all blocks of the node; what the first links is one already
-    sizes = judged.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("f")).filter("f > 0")
-    half = leaf // 2
+    half = max(1, leaf // 2)
+    sides = rest.select("cluster", F.col("a").alias("v"), F.lit(0).alias("side")).distinct().unionByName(rest.select("cluster", F.col("b").alias("v"), F.lit(1).alias("side")).distinct())
+    sides = materialize(sides)
+    counts = materialize(sides.groupBy("cluster").agg(F.count_if(F.col("side") == 0).alias("f"), F.count_if(F.col("side") == 1).alias("n"), F.count("*").alias("_n")))
+    dealt = join_hot(sides, counts, "cluster", "_n", "inner")
     blocks = lambda c: F.ceil(F.col(c) / half).cast("int")
-    dealt = judged.join(sizes, "node").withColumns({
-        "_b": F.pmod(F.xxhash64("mark", F.lit(1)), blocks("n")), "_f": F.pmod(F.xxhash64("mark", F.lit(2)), blocks("f"))})
-    everyone = dealt.select("node", "mark", "_b", F.explode(F.sequence(F.lit(0), blocks("f") - 1)).alias("_g"), F.lit(1).alias("side"))
-    rest = dealt.filter(~F.col("near")).select("node", "mark", F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("_b"), F.col("_f").alias("_g"), F.lit(0).alias("side"))
-    both = rest.unionByName(everyone.select(rest.columns)).withColumn("cluster", F.xxhash64("node", "_b", "_g"))
-    both = both.groupBy("cluster", "mark").agg(F.min("side").alias("side"))
-    return links.unionByName(confirm(both.join(texts, "mark"), percent, size, True))
-
-
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(mark, root) of all vertices of ``links``, by large-star and small-star steps until nothing changes."""
-    pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    pairs = materialize(pairs)
-    for _ in range(most_rounds):
+    place = lambda c: F.pmod(F.xxhash64("v", "side"), blocks(c)).cast("int")
+    every = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
+    own_side = F.col("side") == 0
+    dealt = dealt.withColumns({"_f": F.explode(F.when(own_side, F.array(place("f"))).otherwise(every("f")))})
+    dealt = dealt.withColumns({"_b": F.explode(F.when(own_side, every("n")).otherwise(F.array(place("n"))))})
+    both = dealt.select(F.xxhash64("cluster", "_f", "_b").alias("cluster"), "v", "side").groupBy("cluster", "v").agg(F.min("side").alias("side"))
+    return links.unionByName(confirm(both.join(text, "v"), percent, size, True))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(v, root) of all vertices of ``links`` (a, b), by large-star and small-star steps until nothing changes; a hub's
+    links stay apart in the joins."""
+    pairs = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).filter("u != w").distinct())
+    signature = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "w")), F.bit_xor(F.xxhash64("w", "u"))).first())
+    before = signature(pairs)
+    while before[0]:
         # large star: each vertex's larger neighbours get its smallest neighbour
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
+        both = pairs.unionByName(pairs.select(F.col("w").alias("u"), F.col("u").alias("w")))
+        least = materialize(both.groupBy("u").agg(F.least(F.first("u"), F.min("w")).alias("_m"), F.count("*").alias("_n")))
+        large = join_hot(both.filter("w > u"), least, "u", "_n", "inner").select(F.col("w").alias("u"), F.col("_m").alias("w")).distinct()
+        large = materialize(large)
         # small star: each vertex's smaller neighbours get the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("_m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).filter("u != v")
-        new = materialize(small.unionByName(low.select("u", F.col("_m").alias("v"))).distinct())
-        changed = new.count() != pairs.count() or new.join(pairs, ["u", "v"], "left_anti").limit(1).count()
-        pairs = new
-        if not changed:
-            return pairs.select(F.col("u").alias("mark"), F.col("v").alias("root"))
-    raise RuntimeError("components did not settle")
+        low = materialize(large.groupBy("u").agg(F.min("w").alias("_m"), F.count("*").alias("_n")))
+        several = join_hot(large, low.filter("_n > 1"), "u", "_n", "inner").select(F.col("w").alias("u"), F.col("_m").alias("w")).filter("u != w")
+        pairs = materialize(several.unionByName(low.select("u", F.col("_m").alias("w"))).distinct())
+        after = signature(pairs)
+        if after == before:
+            break
+        before = after
+    ends = pairs.select(F.col("u").alias("v"), F.col("w").alias("root"))
+    return ends.unionByName(ends.select(F.col("root").alias("v"), "root").distinct())
 
 
 def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (mark, own) with the text of each row ``own``.
+    """``wanted`` (own, and others) with the text of each row ``own``.
 
     A Bloom filter of the rows' keys, if it fits its bound, keeps other documents' texts out of the shuffle; the join is exact.
     """
@@ -407,8 +540,8 @@ def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     if 0 < n <= MOST_FILTERED:
         own = build_filter(wanted.select(F.col("own._key").cast("string").alias("key")), n, 0.01, 11)
         docs = docs.filter(own.has(F.col("_key").cast("string")))
-    rows = wanted.select("mark", F.col("own._key").alias("_key"), F.col("own._id").alias("_own_id"))
-    return rows.join(docs, "_key").filter(F.col("_own_id").eqNullSafe(F.col("_id"))).select("mark", "_text")
+    rows = wanted.withColumns({"_key": F.col("own._key"), "_own_id": F.col("own._id")}).drop("own")
+    return rows.join(docs, "_key").filter(F.col("_own_id").eqNullSafe(F.col("_id"))).drop("_key", "_own_id", "_id")
 
 
 def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, leaf: int = LEAF, row: str | None = None) -> DataFrame:
@@ -422,27 +555,28 @@ def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: i
     sets = materialize(embed(rows, size, tokens_needed(percent)))
     itself = F.struct(F.col("_id").isNull().alias("nil"), "_id", "_key")
     # equal sets are one vertex; its row is that with the smallest id
-    distinct = materialize(sets.filter("n > 0").groupBy("mark").agg(F.min(itself).alias("own"), F.first("tokens").alias("tokens")))
-    small, heavy = grow(tree_rows(distinct, trees_needed(percent)), leaf)
-
-    found = materialize(clusters(small, least_matches(percent / 100)))
-    own = materialize(heavy.select("node", "mark").distinct()) if heavy is not None else None
+    distinct = sets.filter("n > 0").groupBy("mark").agg(
+        F.min(itself).alias("own"), F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("low", "high", "tokens")])
+    distinct = materialize(distinct.withColumn("v", F.monotonically_increasing_id()))
+    small, whole = grow(distinct, percent, leaf)
+
+    least = least_matches(percent / 100)
+    groups = components(candidates(small, least).unionByName(whole_nodes(whole)))
+    members = materialize(distinct.select("v", "mark", "own", "low", "high").join(groups.withColumnRenamed("root", "cluster"), "v"))
+    sizes = materialize(members.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") > leaf))
+    members = materialize(join_hot(members, sizes.withColumns({"_n": F.col("n"), "large": F.lit(True)}).drop("n"), "cluster", "_n").withColumn("large", F.coalesce("large", F.lit(False))))
     # texts are fetched once, of the sets that are to be compared only
-    wanted = found.select("mark") if own is None else found.select("mark").unionByName(own.select("mark"))
-    texts = materialize(fetch(rows, materialize(distinct.select("mark", "own").join(wanted.distinct(), "mark", "left_semi"))))
-    links = confirm(found.join(texts, "mark").withColumn("side", F.lit(0)), percent, size, False)
-    if own is not None:
-        links = links.unionByName(heavy_links(own, texts, leaf, percent, size))
+    texts = materialize(fetch(rows, members.select("v", "mark", "own", "cluster", "large")).withColumn("side", F.lit(0)))
+    links = confirm(texts.filter("not large"), percent, size)
+    if not sizes.isEmpty():
+        links = links.unionByName(large_links(members.filter("large").select("cluster", "v", "low", "high"), texts.filter("large"), percent, size, leaf, least))
     roots = components(materialize(links))
     # a component's row is the smallest of its vertices' rows
-    of_mark = distinct.select("mark", "own").join(roots, "mark").select("mark", "own", "root")
-    roots_too = distinct.select("mark", "own").join(roots.select(F.col("root").alias("mark")).distinct(), "mark", "left_semi").select("mark", "own", F.col("mark").alias("root"))
-    linked = materialize(of_mark.unionByName(roots_too))
-    smallest = linked.groupBy("root").agg(F.min("own").alias("_c"))
-    per_mark = linked.join(smallest, "root").select("mark", "_c")
-    per_mark = distinct.select("mark", "own").join(per_mark, "mark", "left").select("mark", F.coalesce("_c", "own").alias("_component"))
-    counts = sets.filter("n > 0").groupBy("mark").agg(F.count("*").alias("_n"))
-    out = join_hot(sets.select("_id", "_key", "n", "mark"), materialize(per_mark.join(counts, "mark")), "mark", "_n")
+    linked = materialize(members.select("v", "mark", "own").join(roots, "v"))
+    smallest = linked.groupBy("root").agg(F.min("own").alias("_c"), F.count("*").alias("_r"))
+    per_set = join_hot(linked.select("mark", "root"), materialize(smallest), "root", "_r", "inner").select("mark", "_c")
+    per_set = distinct.select("mark", "own", "_n").join(per_set, "mark", "left").select("mark", "_n", F.coalesce("_c", "own").alias("_component"))
+    out = join_hot(sets.select("_id", "_key", "n", "mark"), materialize(per_set), "mark", "_n")
     component = F.when(F.col("_component").isNull(), F.col("_id")).otherwise(F.col("_component._id"))
     columns = [F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")]
     if row is None:

@@ -48,11 +48,14 @@ class Filter:
     seed: int
 
     def has(self, key: Column) -> Column:
-        out = F.lit(True)
-        for position in positions(key, self.bits, self.hashes, self.seed):
-            byte = F.ascii(F.substring(F.lit(bytearray(self.data)), (F.floor(position / BITS) + 1).cast("int"), 1).cast("string"))
-            out = out & (F.call_function("shiftright", byte, (position % BITS).cast("int")).bitwiseAND(F.lit(1)) == 1)
-        return out
+        """Whether all of the key's bits are set; the filter's bytes stand in the plan once."""
+        data = F.lit(bytearray(self.data))
+
+        def is_set(position: Column) -> Column:
+            byte = F.ascii(F.substring(data, (F.floor(position / BITS) + 1).cast("int"), 1).cast("string"))
+            return F.call_function("shiftright", byte, (position % BITS).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+        return F.forall(F.array(*positions(key, self.bits, self.hashes, self.seed)), is_set)
 
 
 def positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
