@@ -1,17 +1,22 @@
 """Approximate nearest neighbours by cosine: a forest of random-projection trees and an exact reranking.
 
-The forest is fitted on a bounded sample (``sample`` rows); each inner node splits at the median of a random projection.
-Every row is indexed: it has one leaf in each tree. A query walks all trees through one shared priority queue, the
-side of the least margin first, until the leaves it has taken hold ``budget`` rows. The budget is calibrated: for a
-bounded set of sample queries the true neighbours come from brute force over all rows, and the budget is the least that
-finds ``recall`` of them. Candidates are then scored exactly, leaf by leaf, as blocks of queries against blocks of rows.
+Each level of a tree has one random direction; each inner node splits at the median of its rows' projections. The first
+levels are fitted on a bounded sample (``sample`` rows), the further ones, until leaves hold about ``leaf`` rows, on the
+projections of all rows (a cut per node goes to the driver, at most 2^MOST_DEPTH a tree). Every row is indexed: it has one
+leaf in each tree. A query walks all trees through one shared priority queue, the side of the least margin first, until
+the leaves it has taken hold ``budget`` rows. The budget is calibrated: for a bounded set of sample queries the true
+neighbours come from brute force over all rows, and the budget is the least that finds ``recall`` of them. Candidates
+are then scored exactly, leaf by leaf, as blocks of queries against blocks of rows.
 
 Equal vectors are indexed once, with the smallest ids that can appear in a result (top-k + 1, which is exact). Leaves
-with many rows or queries are dealt out in blocks of about ``block``; a block returns each query's best only.
-
-Defined cases: vectors that are null, zero, of another length than most, or that hold a null or non-finite component
-take no part, neither as query nor as candidate. Rows with the query's own id aren't its neighbours. Ties go to the
-smaller id. With fewer candidates than asked for, all are returned. An empty table gives no rows.
+with many rows or queries are dealt out in blocks of about ``block``; a block returns each query's best only, ties by the
+smallest id, which loses no tied id that could win.
+
+Defined cases: vectors that are null, empty, zero, or that hold a null or non-finite component take no part, neither as
+query nor as candidate. Shorter vectors count as filled up with zeros. Components may be as large or small as doubles are:
+vectors are scaled by a power of two first, which changes no digit. Rows with the query's own id aren't its neighbours;
+repeated rows of one id are one candidate, and each repeated query is answered. Ties go to the smaller id. With fewer
+candidates than asked for, all are returned. An empty table gives no rows; other columns, of any name, play no part.
 """
 
 from __future__ import annotations
@@ -28,19 +33,28 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import hash_unit, join_hot, materialize
 
-SCORED = "query string, key string, score double"
+#: Levels of a tree at most: 2^18 cuts and counts of 8 bytes each a tree are sent to executors.
+MOST_DEPTH = 18
+#: Rows of the sample by which a node is split at least.
+PER_NODE = 32
+#: Products of unit vectors that differ by less may be tied.
+NEAR = 1e-9
+
+
+def scaled(vectors) -> np.ndarray:
+    """Vectors in double precision, each times a power of two that brings its largest component to 0.5 to 1."""
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
 
 
 def units(vectors) -> np.ndarray:
     """Vectors of length 1 in double precision."""
-    x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    x = x / np.abs(x).max(1, keepdims=True)
+    x = scaled(vectors)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The cosine of each row of ``a`` with each row of ``b`` (both original), one sum per pair: independent of blocks."""
-    a, b = np.asarray(a, dtype=np.float64), np.asarray(b, dtype=np.float64)
+    """The cosine of each row of ``a`` with each row of ``b`` (both scaled), one sum per pair: independent of blocks."""
     return (a * b).sum(-1) / (np.sqrt((a * a).sum(-1)) * np.sqrt((b * b).sum(-1)))
 
 
@@ -48,100 +62,140 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Forest:
     """Trees of equal depth: node k's children are 2k + 1 and 2k + 2; leaves are numbered from 0."""
 
-    depth: int
-    directions: np.ndarray  # tree, inner node, component
+    directions: np.ndarray  # tree, level, component
     cuts: np.ndarray  # tree, inner node
 
     @property
     def trees(self) -> int:
-        return len(self.directions)
+        return self.directions.shape[0]
+
+    @property
+    def depth(self) -> int:
+        return self.directions.shape[1]
+
+    def projections(self, x: np.ndarray) -> np.ndarray:
+        """row, tree, level; one sum per value: independent of the batch."""
+        out = np.empty((len(x), self.trees, self.depth))
+        for t in range(self.trees):
+            for level in range(self.depth):
+                out[:, t, level] = (x * self.directions[t, level]).sum(1)
+        return out
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each unit vector in each tree."""
-        out = np.zeros((len(x), self.trees), dtype=np.int64)
+        p, out = self.projections(x), np.zeros((len(x), self.trees), dtype=np.int64)
         for t in range(self.trees):
             node = np.zeros(len(x), dtype=np.int64)
-            for _ in range(self.depth):
-                side = (x * self.directions[t, node]).sum(1) > self.cuts[t, node]
-                node = 2 * node + 1 + side
+            for level in range(self.depth):
+                node = 2 * node + 1 + (p[:, t, level] > self.cuts[t, node])
             out[:, t] = node - (2**self.depth - 1)
         return out
 
+    def deeper(self, directions: np.ndarray, cuts: np.ndarray) -> "Forest":
+        """One level more: a direction per tree and a cut per leaf."""
+        return Forest(np.concatenate([self.directions, directions[:, None]], axis=1), np.concatenate([self.cuts, cuts], axis=1))
+
     def walk(self, x: np.ndarray) -> Iterator[tuple[int, int]]:
         """(tree, leaf) of all trees in the order of the shared queue: the least margin on the way first."""
-        first, queue = 2**self.depth - 1, [(0.0, t, 0) for t in range(self.trees)]
-        margins = self.directions @ x - self.cuts if self.depth else None
+        first, p = 2**self.depth - 1, self.projections(x[None])[0]
+        queue = [(0.0, 0, t, 0) for t in range(self.trees)]
         while queue:
-            bound, t, node = heapq.heappop(queue)
-            if node >= first:
-                yield t, node - first
-                continue
-            m = float(margins[t, node])
-            near, far = (2 * node + 2, 2 * node + 1) if m > 0 else (2 * node + 1, 2 * node + 2)
-            heapq.heappush(queue, (bound, t, near))
-            heapq.heappush(queue, (max(bound, abs(m)), t, far))
+            bound, up, t, node = heapq.heappop(queue)
+            level = -up
+            while level < self.depth:  # down the near side, the far ones are queued
+                m = float(p[t, level] - self.cuts[t, node])
+                near, far = (2 * node + 2, 2 * node + 1) if m > 0 else (2 * node + 1, 2 * node + 2)
+                level += 1
+                heapq.heappush(queue, (max(bound, abs(m)), -level, t, far))
+                node = near
+            yield t, node - first
 
     def visits(self, x: np.ndarray, counts: np.ndarray, budget: float) -> list[tuple[int, int]]:
         out, taken = [], 0
         for t, leaf in self.walk(x):
             if taken >= budget:
                 break
-            out.append((t, leaf))
-            taken += counts[t, leaf]
+            if counts[t, leaf]:
+                out.append((t, leaf))
+                taken += counts[t, leaf]
         return out
 
 
-def plant(x: np.ndarray, trees: int, leaf: int, seed: int = 4) -> Forest:
-    rng = np.random.default_rng(seed)
-    depth = max(0, int(math.log2(max(1, len(x) / leaf))))
-    inner = 2**depth - 1
-    directions = rng.normal(size=(trees, inner, x.shape[1]))
-    directions /= np.maximum(np.sqrt((directions**2).sum(-1, keepdims=True)), 1e-12)
-    cuts = np.zeros((trees, inner))
-    for t in range(trees):
-        node = np.zeros(len(x), dtype=np.int64)
-        for level in range(depth):
-            p = (x * directions[t, node]).sum(1)
-            for k in range(2**level - 1, 2 ** (level + 1) - 1):
-                own = p[node == k]
-                cuts[t, k] = np.median(own) if len(own) else 0.0
-            node = 2 * node + 1 + (p > cuts[t, node])
-    return Forest(depth, directions, cuts)
+def drawn(rng: np.random.Generator, trees: int, size: int) -> np.ndarray:
+    out = rng.normal(size=(trees, size))
+    return out / np.maximum(np.sqrt((out**2).sum(-1, keepdims=True)), 1e-12)
+
+
+def plant(x: np.ndarray, trees: int, depth: int, rng: np.random.Generator) -> Forest:
+    """The first levels, from a sample of unit vectors."""
+    forest = Forest(np.zeros((trees, 0, x.shape[1])), np.zeros((trees, 0)))
+    for level in range(depth):
+        directions, cuts, leaves = drawn(rng, trees, x.shape[1]), np.zeros((trees, 2**level)), forest.leaves(x)
+        for t in range(trees):
+            p = (x * directions[t]).sum(1)
+            for k in np.unique(leaves[:, t]):
+                cuts[t, k] = np.median(p[leaves[:, t] == k])
+        forest = forest.deeper(directions, cuts)
+    return forest
+
+
+def grow(forest: Forest, index: DataFrame, depth: int, rng: np.random.Generator) -> Forest:
+    """Further levels, from the projections of all rows of ``index``; a row per node is collected."""
+    while forest.depth < depth:
+        directions = drawn(rng, forest.trees, forest.directions.shape[2])
+        shared = index.sparkSession.sparkContext.broadcast(forest)
+
+        def project(frames: Iterator[pd.DataFrame], shared=shared, directions=directions) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    x = units(frame["vector"])
+                    leaves = shared.value.leaves(x)
+                    for t in range(leaves.shape[1]):
+                        yield pd.DataFrame({"tree": np.int32(t), "leaf": leaves[:, t], "p": (x * directions[t]).sum(1)})
+
+        found = index.select("vector").mapInPandas(project, "tree int, leaf long, p double")
+        cuts = np.zeros((forest.trees, 2**forest.depth))
+        for r in found.groupBy("tree", "leaf").agg(F.percentile_approx("p", 0.5, 200).alias("cut")).toLocalIterator():
+            cuts[r.tree, r.leaf] = r.cut
+        shared.destroy()
+        forest = forest.deeper(directions, cuts)
+    return forest
 
 
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """vec_id, vector and key (128 bits of the vector's hash) of the rows that take part."""
+    """vec_id, vector (of doubles or floats, all of one length) and key (its hash) of the rows that take part."""
     fine = F.col(id_column).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)
     fine = fine & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     rows = vectors.filter(fine).select(F.col(id_column).alias("vec_id"), F.col(vector).alias("vector"))
-    sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    length = sizes[0]["d"] if sizes else 0
-    key = F.concat(F.hex(F.xxhash64("vector")), F.lit("-"), F.hex(F.xxhash64("vector", F.lit(1))))
-    return rows.filter(F.size("vector") == length).withColumn("key", key)
+    least, most = rows.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if least != most:
+        zero = F.lit(0).cast(rows.schema["vector"].dataType.elementType)
+        rows = rows.withColumn("vector", F.concat("vector", F.array_repeat(zero, F.lit(most) - F.size("vector"))))
+    return rows.withColumn("key", F.concat(F.hex(F.xxhash64("vector")), F.lit("-"), F.hex(F.xxhash64("vector", F.lit(1)))))
 
 
-def true_neighbours(index: DataFrame, queries: np.ndarray, top: int) -> list[list[tuple[float, str]]]:
-    """The nearest ``top`` keys of a bounded number of queries, by brute force over all rows; self included."""
+def true_neighbours(index: DataFrame, queries: np.ndarray, top: int) -> list[list[tuple[float, int]]]:
+    """The nearest ``top`` rows (v) of a bounded number of queries, by brute force over all rows; self included."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[list[tuple[float, str]]] = [[] for _ in queries]
+        best: list[list[tuple[float, int]]] = [[] for _ in queries]
         for frame in frames:
             if not len(frame):
                 continue
-            x, keys = units(frame["vector"]), frame["key"].to_numpy()
+            x, keys = units(frame["vector"]), frame["v"].tolist()
             s = queries @ x.T
             k = min(top, len(keys))
             part = np.argpartition(-s, k - 1, axis=1)[:, :k]
             for i, row in enumerate(part):
                 best[i] = heapq.nlargest(top, best[i] + [(float(s[i, j]), keys[j]) for j in row])
         rows = [(i, s, k) for i, found in enumerate(best) for s, k in found]
-        yield pd.DataFrame(rows, columns=["i", "score", "key"])
+        yield pd.DataFrame(rows, columns=["i", "score", "v"])
 
-    found = index.select("key", "vector").mapInPandas(run, "i int, score double, key string")
-    w = Window.partitionBy("i").orderBy(F.desc("score"), "key")
-    out: list[list[tuple[float, str]]] = [[] for _ in queries]
+    found = index.select("v", "vector").mapInPandas(run, "i int, score double, v long")
+    w = Window.partitionBy("i").orderBy(F.desc("score"), "v")
+    out: list[list[tuple[float, int]]] = [[] for _ in queries]
     for r in found.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= top).collect():  # queries * top rows
-        out[r.i].append((r.score, r.key))
+        out[r.i].append((r.score, r.v))
     return out
 
 
@@ -149,37 +203,46 @@ def calibrate(index: DataFrame, forest: Forest, counts: np.ndarray, sample: pd.D
     """The least budget that finds ``recall`` of the true neighbours of ``queries`` sample rows."""
     x = units(sample["vector"].iloc[:queries])
     truth = true_neighbours(index, x, top + 1)
-    wanted = sorted({k for found in truth for _, k in found})
-    vectors = index.join(F.broadcast(index.sparkSession.createDataFrame([(k,) for k in wanted], "key string")), "key").select("key", "vector").collect()
-    leaf_of = dict(zip([r.key for r in vectors], forest.leaves(units([r.vector for r in vectors])), strict=True))
+    wanted = sorted({k for found in truth for _, k in found})  # queries * (top + 1) at most
+    vectors = index.join(F.broadcast(index.sparkSession.createDataFrame([(k,) for k in wanted], "v long")), "v").select("v", "vector").collect()
+    leaf_of = dict(zip([r.v for r in vectors], forest.leaves(units([r.vector for r in vectors])), strict=True))
     needed = []
     for i, found in enumerate(truth):
-        place, taken = {}, 0
+        own = int(sample["v"].iloc[i])
+        missing, taken, least = {k: leaf_of[k] for _, k in found if k != own}, 0, {}
         for t, leaf in forest.walk(x[i]):
-            place[t, leaf] = taken
+            for k in [k for k, leaves in missing.items() if leaves[t] == leaf]:
+                least[k] = taken
+                del missing[k]
+            if not missing:
+                break
             taken += counts[t, leaf]
-        own = sample["key"].iloc[i]
-        needed += [min(place[t, leaf_of[k][t]] for t in range(forest.trees)) for _, k in found if k != own]
+        needed += least.values()
     # a leaf is taken if fewer rows than the budget came before it
     return float(np.quantile(needed, recall, method="higher")) + 1 if needed else math.inf
 
 
-def search(vectors: DataFrame, is_query: Column, top: int = 5, id_column: str = "vec_id", vector: str = "embedding", trees: int = 4,
-           sample: int = 8192, leaf: int = 256, recall: float = 0.97, block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, top: int = 5, id_column: str = "vec_id", vector: str = "embedding", trees: int = 3,
+           sample: int = 16384, leaf: int = 256, recall: float = 0.97, block: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``top`` nearest rows found for each query."""
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, id_column, vector))
+    kind = rows.schema["vec_id"].dataType.simpleString()
     # the smallest ids of each distinct vector; the rank limit is applied before the shuffle
     w = Window.partitionBy("key").orderBy("vec_id")
     few = rows.dropDuplicates(["key", "vec_id"]).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= top + 1)
-    index = materialize(few.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("vector").alias("vector")))
+    few = few.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("vector").alias("vector"))
+    index = materialize(few.withColumns({"v": F.monotonically_increasing_id(), "least": F.get("ids", F.lit(0))}))
     asked = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "key")
-    per_key = materialize(asked.groupBy("key").agg(F.count("*").alias("_n")))
-    chosen = index.orderBy(hash_unit("key", seed=1), "key").limit(sample).select("key", "vector").toPandas()
-    schema = f"query_id {rows.schema['vec_id'].dataType.simpleString()}, rank int, vec_id {rows.schema['vec_id'].dataType.simpleString()}, score double"
+    per_key = materialize(asked.groupBy("key").agg(F.count("*").alias("_n")).join(index.select("key", "v"), "key"))
+    chosen = index.orderBy(hash_unit("key", seed=1), "key").limit(sample).select("v", "vector").toPandas()
+    schema = f"query_id {kind}, rank int, vec_id {kind}, score double"
     if not len(chosen):
         return spark.createDataFrame([], schema)
-    forest = plant(units(chosen["vector"]), trees, leaf)
+    n, rng = index.count(), np.random.default_rng(4)
+    depth = min(MOST_DEPTH, max(0, math.ceil(math.log2(n / leaf))))
+    forest = plant(units(chosen["vector"]), trees, min(depth, max(0, int(math.log2(max(1, len(chosen) / min(leaf, PER_NODE)))))), rng)
+    forest = grow(forest, index, depth, rng)
     shared = spark.sparkContext.broadcast(forest)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,58 +252,69 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, id_column: str =
                 for t in range(found.shape[1]):
                     yield frame.assign(tree=np.int32(t), leaf=found[:, t].astype(np.int32))
 
-    kind = index.schema["vector"].dataType.simpleString()
-    placed = materialize(index.select("key", "vector").mapInPandas(place, f"key string, vector {kind}, tree int, leaf int"))
+    kind_of = index.schema["vector"].dataType.simpleString()
+    placed = index.select("v", "least", "vector").mapInPandas(place, f"v long, least {kind}, vector {kind_of}, tree int, leaf int")
+
+    def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((shared.value.trees, 2**shared.value.depth), dtype=np.int64)
+        for frame in frames:
+            if len(frame):
+                for t, own in enumerate(shared.value.leaves(units(frame["vector"])).T):
+                    out[t] += np.bincount(own, minlength=out.shape[1])
+        t, k = np.nonzero(out)
+        yield pd.DataFrame({"tree": t.astype(np.int32), "leaf": k.astype(np.int32), "n": out[t, k]})
+
     counts = np.zeros((trees, 2**forest.depth), dtype=np.int64)
-    for r in placed.groupBy("tree", "leaf").count().collect():  # a row per leaf
-        counts[r.tree, r.leaf] = r["count"]
+    sums = index.select("vector").mapInPandas(tally, "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n"))
+    for r in sums.toLocalIterator():  # a row per leaf
+        counts[r.tree, r.leaf] = r.n
     budget = calibrate(index, forest, counts, chosen, top, recall)
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for key, v, x in zip(frame["key"], frame["vector"], units(frame["vector"]) if len(frame) else [], strict=True):
+            for v, vector, x in zip(frame["v"], frame["vector"], units(frame["vector"]) if len(frame) else [], strict=True):
                 found = shared.value.visits(x, counts, budget)
-                yield pd.DataFrame({"key": key, "vector": [v] * len(found), "tree": np.array([t for t, _ in found], dtype=np.int32), "leaf": np.array([n for _, n in found], dtype=np.int32)})
+                yield pd.DataFrame({"v": v, "vector": [vector] * len(found), "tree": np.array([t for t, _ in found], dtype=np.int32), "leaf": np.array([n for _, n in found], dtype=np.int32)})
 
-    queries = index.join(per_key.select("key"), "key", "left_semi").select("key", "vector")
-    visits = materialize(queries.mapInPandas(visit, f"key string, vector {kind}, tree int, leaf int"))
+    queries = index.join(per_key.select("v"), "v", "left_semi").select("v", "vector")
+    visits = materialize(queries.mapInPandas(visit, f"v long, vector {kind_of}, tree int, leaf int"))
     # blocks: each of a leaf's row blocks meets each of its query blocks
-    sizes = visits.groupBy("tree", "leaf").agg(F.count("*").alias("q")).collect()  # a row per leaf
+    sizes = visits.groupBy("tree", "leaf").agg(F.count("*").alias("q")).toLocalIterator()  # a row per leaf
     shape = spark.createDataFrame(
-        [(r.tree, r.leaf, max(1, math.ceil(counts[r.tree, r.leaf] / block)), max(1, math.ceil(r.q / block))) for r in sizes],
+        [(r.tree, r.leaf, max(1, math.ceil(int(counts[r.tree, r.leaf]) / block)), max(1, math.ceil(r.q / block))) for r in sizes],
         "tree int, leaf int, nv int, nq int")
     spread = lambda df, own, other, a, b: (
-        df.join(F.broadcast(shape), ["tree", "leaf"]).withColumn(a, F.pmod(F.xxhash64("key"), F.col(own)).cast("int"))
+        df.join(F.broadcast(shape), ["tree", "leaf"]).withColumn(a, F.pmod(F.xxhash64("v"), F.col(own)).cast("int"))
         .withColumn(b, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("nv", "nq"))
     groups = ["tree", "leaf", "bv", "bq"]
     left, right = spread(placed, "nv", "nq", "bv", "bq"), spread(visits, "nq", "nv", "bq", "bv")
     keep = top + 1
 
     def rank(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(found) or not len(asked):
-            return pd.DataFrame({"query": [], "key": [], "score": []}).astype({"score": float})
-        x, y = units(found["vector"]), units(asked["vector"])
-        raw_x, raw_y = np.stack(found["vector"].to_numpy()), np.stack(asked["vector"].to_numpy())
-        keys, names = found["key"].to_numpy(), asked["key"].to_numpy()
         out = []
-        for a in range(0, len(y), 256):
-            s = y[a : a + 256] @ x.T
-            k = min(2 * keep + 4, len(keys))
-            part = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            for i, row in enumerate(part):
-                exact = cosine(raw_x[row], raw_y[a + i])
-                best = np.argsort(-exact, kind="stable")[:k]
-                out += [(names[a + i], keys[row[j]], float(exact[j])) for j in best[: keep + 2]]
-        return pd.DataFrame(out, columns=["query", "key", "score"])
-
-    scored = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(rank, SCORED)
+        if len(found) and len(asked):
+            raw_x, raw_y = scaled(found["vector"]), scaled(asked["vector"])
+            x, y = units(found["vector"]), units(asked["vector"])
+            keys, least, names = found["v"].tolist(), found["least"].tolist(), asked["v"].tolist()
+            k = min(keep, len(keys))
+            for a in range(0, len(y), 256):
+                s = y[a : a + 256] @ x.T
+                cut = -np.partition(-s, k - 1, axis=1)[:, k - 1] - NEAR
+                for i, row in enumerate(s >= cut[:, None]):
+                    near = np.flatnonzero(row)
+                    exact = cosine(raw_x[near], raw_y[a + i]).tolist()
+                    best = heapq.nsmallest(keep, ((-c, least[j], keys[j]) for c, j in zip(exact, near.tolist(), strict=True)))
+                    out += [(names[a + i], v, -c) for c, _, v in best]
+        return pd.DataFrame(out, columns=["query", "v", "score"]).astype({"query": "int64", "v": "int64", "score": float})
+
+    scored = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(rank, "query long, v long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    ids = scored.distinct().join(index.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("vec_id"))
+    ids = scored.distinct().join(index.select("v", "ids"), "v").select("query", "score", F.explode("ids").alias("vec_id"))
     lists = (
         ids.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= top + 1)
-        .groupBy(F.col("query").alias("key")).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v")))).alias("near"))
+        .groupBy(F.col("query").alias("v")).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v")))).alias("near"))
     )
-    answered = join_hot(asked, materialize(lists.join(per_key, "key")), "key", "_n")
+    answered = join_hot(asked, materialize(lists.join(per_key, "v").drop("v")), "key", "_n")
     others = F.slice(F.filter("near", lambda x: x["v"] != F.col("query_id")), 1, top)
     return answered.select("query_id", F.posexplode(others).alias("_p", "_x")).select(
         "query_id", (F.col("_p") + 1).cast("int").alias("rank"), F.col("_x.v").alias("vec_id"), (-F.col("_x.s")).alias("score"))
