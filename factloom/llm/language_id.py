@@ -5,10 +5,12 @@ frequency of its longest n-grams (word borders included) of which any is known,
 text's language is that of the largest sum over its words.
 
 Counts come from a bounded sample: at most ``per_language`` texts of each language (a parameter), chosen by a hash of
-the id. Prediction reads whole texts.
+id and text; equal rows count once. Prediction reads whole texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0. So is every text if nothing was learned.
-Where languages tie, the first by code point wins. A text of unknown letters goes to the language with most n-grams.
+Where languages tie, the first by code point wins. A text of unknown letters goes to the language whose counts are
+smallest. Languages are told apart by their exact names, whatever these hold. Repeated rows get the same result, an empty
+table gives no rows, and columns other than id, text and language, of any name, play no part.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import crc_mod, hash_unit, materialize
+from factloom.llm.common import crc_mod, materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 MOST = 5
@@ -108,12 +110,17 @@ def train(docs: DataFrame, usable: Column, id_column: str = "doc_id", text: str
     if not sizes:
         return Model((), {}, np.zeros((0, 0)), {}, np.zeros((0, 0)), np.zeros(0))
     languages = tuple(sorted(sizes, key=lambda x: [ord(c) for c in x]))
-    share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / v)))])
-    chosen = known.filter(hash_unit(id_column, seed=5) < F.element_at(share, F.col(language))).select(language, text)
+    # a hash for each text; the cut of a language is its per_language-th smallest, so that the sample is bounded strictly
+    keyed = known.select(F.col(language).alias("_lang"), F.col(text).alias("_text"), F.xxhash64(F.col(id_column), F.col(text), F.lit(5)).alias("_h"))
+    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))
+    first = keyed.select("_lang", "_h").distinct().withColumn("_n", nth).filter(F.col("_n") <= per_language)
+    cuts = {r[0]: r[1] for r in first.groupBy("_lang").agg(F.max("_h")).collect()}  # a row per language
+    cut = F.create_map(*[x for k, v in cuts.items() for x in (F.lit(k), F.lit(v))])
+    chosen = keyed.filter(F.col("_h") <= F.element_at(cut, F.col("_lang"))).dropDuplicates(["_lang", "_h"]).select("_lang", "_text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lang, texts in batch.groupby(language)[text]:
+            for lang, texts in batch.groupby("_lang")["_text"]:
                 found: Counter = Counter()
                 for x in texts:
                     found.update(WORD.findall(x.lower()))
@@ -153,13 +160,18 @@ def _counted(found: Counter) -> pd.DataFrame:
 
 
 def _table(counts: DataFrame, key: str, languages: tuple[str, ...]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Keys seen twice or more with their rows, the rows' smoothed log frequencies, and those of an unseen key."""
-    one = counts.groupBy(key).pivot("lang", list(languages)).agg(F.sum("n")).fillna(0)
-    total = F.lit(0)
-    for x in languages:
-        total = total + F.col(f"`{x}`")
-    rows = [(r[0], [r[i + 1] for i in range(len(languages))]) for r in one.filter(total >= 2).toLocalIterator()]
-    table = np.array([r[1] for r in rows], dtype=np.float64).reshape(-1, len(languages))
+    """Keys seen twice or more with their rows, the rows' smoothed log frequencies, and those of an unseen key.
+
+    A key comes with its counts by language, so that languages are values, never columns.
+    """
+    pair = F.struct(F.col("lang").alias("lang"), F.col("n").alias("n"))
+    one = counts.groupBy(F.col(key).alias("key")).agg(F.sum("n").alias("total"), F.collect_list(pair).alias("by")).filter("total >= 2")
+    place = {x: i for i, x in enumerate(languages)}
+    rows = sorted((r.key, tuple((x.lang, x.n) for x in r.by)) for r in one.select("key", "by").toLocalIterator())
+    table = np.zeros((len(rows), len(languages)))
+    for i, (_, found) in enumerate(rows):
+        for lang, n in found:
+            table[i, place[lang]] = n
     sums = table.sum(0) + 0.5 * (len(rows) + 1)
     logs = np.log((table + 0.5) / sums).astype(np.float32)
     return {r[0]: i for i, r in enumerate(rows)}, logs, np.log(0.5 / sums).astype(np.float32)
