@@ -5,10 +5,13 @@ N_GRAMS characters, word borders included, times the n-gram's log-count ratio. A
 score of its own, and a document's is the sum over its distinct words; words are scored once and cached.
 
 The model is fitted on a bounded sample of labelled rows: at most ``per_class`` documents of each class (a parameter).
-Everything else covers all rows and whole texts.
+Its size is bounded too: n-grams share 2^SPACE_BITS hashes, of which the ``keep`` that tell most have a weight, each seen
+in ``least_documents`` of the sample at least (parameters). Everything else covers all rows and whole texts.
 
 Defined cases: a null or empty text has the score that the intercept gives. Without labelled rows of both classes the
-score is the share of label 1, smoothed by one row of each. Ties and equal rows get equal scores.
+score is the share of label 1, smoothed by one row of each. Ties and equal rows get equal scores; a repeated id counts
+once in the sample. An empty table gives no rows. A text of any length is scored whole; words of over LONG characters
+aren't cached. Extra columns of any name play no part and stay in ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -23,25 +26,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from factloom.llm import labelled
-from factloom.llm.common import TwoAgeCache
+from factloom.llm.common import TwoAgeCache, materialize
 
 N_GRAMS = (3, 4, 5, 6)
 SPACE_BITS = 20
 MASK = (1 << SPACE_BITS) - 1
 
 
-def grams(word: str) -> list[int]:
+#: Characters of the longest word that is cached.
+LONG = 64
+
+
+def grams(word: str) -> Iterator[int]:
     """The hashed n-grams of a word between two spaces."""
-    data = f" {word} ".encode("utf-8", "surrogatepass")
-    return [zlib.crc32(data[i : i + n]) & MASK for n in N_GRAMS for i in range(len(data) - n + 1)]
+    bound = f" {word} "
+    if bound.isascii():  # a character is a byte
+        data = bound.encode()
+        return (zlib.crc32(data[i : i + n]) & MASK for n in N_GRAMS for i in range(len(data) - n + 1))
+    return (zlib.crc32(bound[i : i + n].encode("utf-8", "surrogatepass")) & MASK for n in N_GRAMS for i in range(len(bound) - n + 1))
 
 
 def document_grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """A text's hashed n-grams and the number of distinct words that hold each."""
-    found: list[int] = []
-    for word in set((text or "").lower().split()):
-        found.extend(grams(word))
-    return np.unique(np.array(found, dtype=np.int32), return_counts=True)
+    parts = [np.unique(np.fromiter(grams(word), dtype=np.int32)) for word in set((text or "").lower().split())]
+    return np.unique(np.concatenate(parts) if parts else np.empty(0, dtype=np.int32), return_counts=True)
 
 
 @dataclass(frozen=True)
@@ -49,48 +57,80 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def word_scores(self) -> TwoAgeCache:
-        weights = self.weights.tolist()
-        return TwoAgeCache(lambda word: sum(map(weights.__getitem__, grams(word))))
+    def scorer(self) -> "Scorer":
+        return Scorer(self)
+
+
+class Scorer:
+    """Scores of texts by a model; words are cached."""
+
+    def __init__(self, model: Model):
+        self.weights, self.bias = model.weights.tolist(), model.bias
+        self.words = TwoAgeCache(self.word)
+
+    def word(self, word: str) -> float:
+        """The sum of the weights of a word's distinct n-grams."""
+        return sum(map(self.weights.__getitem__, set(grams(word))))
+
+    def __call__(self, texts) -> np.ndarray:
+        z, words = [], self.words
+        for text in texts:
+            own = set((text or "").lower().split())
+            if max(map(len, own), default=0) <= LONG:
+                z.append(self.bias + sum(map(words.__getitem__, own)))
+            else:
+                z.append(self.bias + sum(words[x] if len(x) <= LONG else self.word(x) for x in own))
+        return 1 / (1 + np.exp(-np.clip(np.array(z, dtype=np.float64), -30, 30)))
 
 
 def fit(features: list[tuple[int, np.ndarray, np.ndarray]], sizes: dict[int, int], keep: int = 1 << 16,
-        least_documents: int = 4, penalty: float = 1e-3, steps: int = 80) -> Model:
-    """Logistic regression on the scaled counts, by full-batch Adam; features: (label, n-grams, counts)."""
+        least_documents: int = 4, penalty: float = 1e-3, steps: int = 80, block: int = 1 << 18) -> Model:
+    """Logistic regression on the scaled counts, by full-batch Adam; features: (label, n-grams, counts).
+
+    The driver holds the features as given, those kept as (column, value) of 8 bytes, and temporaries of ``block`` entries.
+    """
     space = 1 << SPACE_BITS
     if {x[0] for x in features} != {0, 1}:
         share = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
         return Model(np.zeros(space, dtype=np.float32), math.log(share / (1 - share)))
-    features.sort(key=lambda x: -x[0])  # label 1 first: each class is a slice
-    y = np.array([x[0] for x in features], dtype=np.float64)
-    lens = np.array([len(x[1]) for x in features])
-    ones = int(lens[y == 1].sum())
-    index, count = np.concatenate([x[1] for x in features]), np.concatenate([x[2] for x in features])
-    features.clear()
-    documents = np.bincount(index, minlength=space)
-    p = 1 + np.bincount(index[:ones], weights=count[:ones], minlength=space)
-    q = 1 + np.bincount(index[ones:], weights=count[ones:], minlength=space)
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    documents, sums = np.zeros(space, dtype=np.int32), np.ones((2, space))
+    for label, index, count in features:  # a document's n-grams are distinct
+        documents[index] += 1
+        sums[label, index] += count
+    ratio = np.log((sums[1] / sums[1].sum()) / (sums[0] / sums[0].sum()))
     gain = np.where(documents >= least_documents, np.abs(ratio) * np.sqrt(documents), -1.0)
     chosen = np.argsort(-gain, kind="stable")[:keep]
     chosen = chosen[gain[chosen] > 0]
     place = np.full(space, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
-    use = place[index] >= 0
-    column, row = place[index[use]], np.repeat(np.arange(len(y), dtype=np.int32), lens)[use]
-    value = count[use] * ratio[index[use]].astype(np.float32)
-    del index, count, use
+    y = np.array([x[0] for x in features], dtype=np.float64)
+    columns, values = [], []
+    for k, (_, index, count) in enumerate(features):
+        use = place[index] >= 0
+        columns.append(place[index[use]])
+        values.append((count[use] * ratio[index[use]]).astype(np.float32))
+        features[k] = None  # no longer needed
+    lens = np.array(list(map(len, columns)))
+    column, value = np.concatenate(columns), np.concatenate(values)
+    columns.clear(), values.clear()
+    # blocks of whole documents
+    starts = np.r_[0, np.cumsum(lens)]
+    cuts = sorted({0, *np.searchsorted(starts, range(0, int(starts[-1]), block), side="right").tolist(), len(y)})
     n, d = len(y), len(chosen)
     w, m, v, bias, mb, vb = np.zeros(d), np.zeros(d), np.zeros(d), 0.0, 0.0, 0.0
     for k in range(1, steps + 1):
-        z = np.clip(np.bincount(row, weights=w[column] * value, minlength=n) + bias, -30, 30)
-        error = 1 / (1 + np.exp(-z)) - y
-        g = np.bincount(column, weights=error[row] * value, minlength=d) / n + penalty * w
-        gb = float(error.mean())
+        g, gb = penalty * w, 0.0
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = slice(starts[a], starts[b])
+            row = np.repeat(np.arange(b - a), lens[a:b])
+            z = np.bincount(row, weights=w[column[own]] * value[own], minlength=b - a) + bias
+            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[a:b]
+            g = g + np.bincount(column[own], weights=error[row] * value[own], minlength=d) / n
+            gb += float(error.sum()) / n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         fix, fix2 = 1 - 0.9**k, 1 - 0.99**k
-        w -= 0.05 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
+        w = w - 0.05 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
         bias -= 0.05 * (mb / fix) / (math.sqrt(vb / fix2) + 1e-8)
     weights = np.zeros(space, dtype=np.float32)
     weights[chosen] = w * ratio[chosen]
@@ -100,7 +140,7 @@ def fit(features: list[tuple[int, np.ndarray, np.ndarray]], sizes: dict[int, int
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str = "doc_id", text: str = "text",
           per_class: int = 1500, fold: int = 5) -> Model:
     """Fit a model on at most ``per_class`` labelled documents of each class outside the held-out fold."""
-    rows, sizes = labelled.sample(docs, labels, label, per_class, id_column, fold, text)
+    rows, sizes, _ = labelled.sample(docs, labels, label, per_class, id_column, fold, text)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -108,9 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
                 index, count = document_grams(a)
                 yield pd.DataFrame({"label": [b], "index": [index.tobytes()], "count": [count.astype(np.int32).tobytes()]})
 
-    # bytes, not lists: the sample stays compact on its way to the driver
-    found = rows.mapInPandas(extract, "label int, index binary, count binary").toLocalIterator()
+    # bytes, not lists: the sample stays compact on its way to the driver, which reads a partition at a time
+    found = materialize(rows.mapInPandas(extract, "label int, index binary, count binary")).toLocalIterator()
     features = [(r["label"], np.frombuffer(r["index"], dtype=np.int32), np.frombuffer(r["count"], dtype=np.int32)) for r in found]
+    # the order in which files are read doesn't matter
+    features.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()[:64]))
     return fit(features, sizes)
 
 
@@ -120,10 +162,9 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str =
     own = docs.select(docs[id_column].alias("doc_id"), docs[text].alias("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, bias = shared.value.word_scores(), shared.value.bias
+        scores = shared.value.scorer()
         for batch in batches:
-            z = np.array([bias + sum(map(words.__getitem__, set((x or "").lower().split()))) for x in batch["_text"]])
-            s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            s = scores(batch["_text"])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
     kind = own.schema["doc_id"].dataType.simpleString()
@@ -135,9 +176,8 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, bias = shared.value.word_scores(), shared.value.bias
+        scores = shared.value.scorer()
         for batch in batches:
-            z = np.array([bias + sum(map(words.__getitem__, set((x or "").lower().split()))) for x in batch[text]])
-            yield batch[1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold]
+            yield batch[scores(batch[text]) < threshold]
 
     return docs.mapInPandas(run, docs.schema)
