@@ -2,7 +2,11 @@
 
 import base64
 import hashlib
+import math
 import random
+import re
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -175,31 +179,53 @@ VECTORS = "vec_id long, embedding array<float>, label int, score double"
 
 
 def nearest(rows, top=5, every=50):
-    ok = [(i, np.array(v, float)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    ok = [(i, np.array(v, float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    size = max(len(x) for _, x in ok)
+    ok = [(i, np.ldexp(np.pad(x, (0, size - len(x))), -np.frexp(np.abs(x).max())[1])) for i, x in ok]
+    ids, x = np.array([i for i, _ in ok]), np.stack([x for _, x in ok])
     out = []
-    for i, x in ok:
+    for i, y in ok:
         if i % every == 0:
-            s = sorted((-float((x * y).sum() / np.sqrt((x * x).sum()) / np.sqrt((y * y).sum())), j) for j, y in ok if j != i)
+            c = (x * y).sum(-1) / (np.sqrt((x * x).sum(-1)) * np.sqrt((y * y).sum(-1)))
+            s = sorted((-float(c[j]), int(ids[j])) for j in np.flatnonzero(ids != i))
             out += [(i, k + 1, j, -c) for k, (c, j) in enumerate(s[:top])]
     return out
 
 
+def found_by(df, **options):
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df, F.col("vec_id") % 50 == 0, **options).collect())
+
+
 def test_neighbours(spark):
+    """The sample is small, so that the last levels are fitted on all rows."""
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).astype("f4").tolist()) for i in range(600)] + [(600 + i, [1.0] * 8) for i in range(300)]
-    rows += [(950, None), (1000, [0.0] * 8), (1050, [float("nan")] + [1.0] * 7), (1100, [None] + [1.0] * 7), (1150, [1.0])]
+    rows += [(950, None), (1000, [0.0] * 8), (1050, [float("nan")] + [1.0] * 7), (1100, [None] + [1.0] * 7), (1150, [1.0]), (1200, [])]
     df = spark.createDataFrame([(i, v, 0, 0.0) for i, v in rows], VECTORS)
-    got = {}
-    for r in ann.search(df, F.col("vec_id") % 50 == 0, leaf=16, sample=256, block=64).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    truth = {}
-    for i, k, j, s in nearest([r for r in rows if r[0] != 1150]):
-        truth.setdefault(i, []).append((k, j, s))
-    assert set(got) == set(truth)
-    hits = sum(len({x[1] for x in got[i]} & {x[1] for x in truth[i]}) for i in truth)
-    assert hits >= 0.9 * sum(map(len, truth.values()))
-    assert [x[1] for x in sorted(got[600])] == [601, 602, 603, 604, 605]
-    assert [x[1] for x in sorted(got[850])] == [600, 601, 602, 603, 604]
+    got, truth = found_by(df, leaf=16, sample=128, block=64), nearest(rows)
+    assert {x[0] for x in got} == {x[0] for x in truth}
+    assert len({(q, v) for q, _, v, _ in got} & {(q, v) for q, _, v, _ in truth}) >= 0.9 * len(truth)
+    assert [v for q, _, v, _ in got if q == 600] == [601, 602, 603, 604, 605]
+    assert [v for q, _, v, _ in got if q == 850] == [600, 601, 602, 603, 604]
+
+
+def test_ties_and_large_components(spark):
+    """Multiples by powers of two are all tied: the smallest ids win. Components may be near the largest double."""
+    base = [0.5, -0.25, 0.125, 1.0]
+    rows = [(i, [x * 2.0 ** ((i * 37) % 60) for x in base]) for i in range(60)] + [(100, [1e200, 1e200, 0.0, 0.0]), (150, [1e-300, 0.0, 0.0, 0.0]), (151, [3e200, 3e200, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (4096, 8):
+        got = found_by(df, block=block)
+        assert got == nearest(rows)
+        assert [v for q, _, v, _ in got if q == 0] == [1, 2, 3, 4, 5] and got[10][2:] == (151, pytest.approx(1.0))
+
+
+def test_recall_on_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    got, truth = found_by(df), nearest(rows)
+    assert [x[:2] for x in got] == sorted(x[:2] for x in truth)
+    assert len({x[::2] for x in got} & {x[::2] for x in truth}) >= 0.9 * len(truth)
 
 
 def test_few_vectors(spark):
@@ -208,6 +234,99 @@ def test_few_vectors(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_toxicity_by_brute_force():
+    """Scores are sums over distinct words of their n-grams' weights, and weights are scaled by the log-count ratios."""
+    texts = [("bad été wörd 漢字 bad", 1), ("good été day", 0), ("bad bad day", 1), ("wörd good 漢", 0), ("a", 0), ("", 1)] * 4
+    grams = lambda w: {f" {w} "[i : i + n] for n in toxicity.N_GRAMS for i in range(len(w) + 3 - n)}
+    place = lambda g: zlib.crc32(g.encode()) & toxicity.MASK
+    counts = [Counter(g for w in set(t.split()) for g in grams(w)) for t, _ in texts]
+    for (t, _), c in zip(texts, counts, strict=True):
+        index, n = toxicity.document_grams(t)
+        assert dict(zip(index.tolist(), n.tolist(), strict=True)) == {place(g): k for g, k in c.items()}
+    model = toxicity.fit([(y, *toxicity.document_grams(t)) for t, y in texts], {0: 12, 1: 12}, block=5)
+    again = toxicity.fit([(y, *toxicity.document_grams(t)) for t, y in texts], {0: 12, 1: 12})
+    assert np.allclose(model.weights, again.weights) and model.bias == pytest.approx(again.bias)
+    sums = [1 + sum((c for (_, y), c in zip(texts, counts, strict=True) if y == k), Counter()).total() for k in (0, 1)]
+    assert sums[0] > 1 and sums[1] > 1
+    z = [model.bias + sum(model.weights[place(g)] * k for g, k in c.items()) for c in counts]
+    assert np.allclose(model.scorer()([t for t, _ in texts]), 1 / (1 + np.exp(-np.array(z))), atol=1e-5)
+    scores = dict(zip([t for t, _ in texts], model.scorer()([t for t, _ in texts]), strict=True))
+    assert scores["bad bad day"] > 0.5 > scores["good été day"]
+    long = "x" * 200_000
+    assert np.allclose(model.scorer()([f"bad {long}", None]), [model.scorer()([f"bad {long}"])[0], 1 / (1 + np.exp(-model.bias))])
+
+
+def test_quality_by_brute_force(spark):
+    """The threshold is the quantile of all labelled documents, and the weights are a minimum of the pairs' loss."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["fine", "clear", "text", "###", "BUY", "!!"][: 6 if i % 3 else 3]) for _ in range(5 + i % 40))) for i in range(240)]
+    docs = spark.createDataFrame([*rows, *rows[:5], (None, "x"), (999, "y " * 50_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0) if i % 11 else 1 - int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int")
+    model = pairwise_quality.train(docs, labels, per_class=30)
+    features, known = pairwise_quality.Features(), {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    strength = sorted(float(model.strengths([t], features)[0]) for i, t in rows if i in known)
+    zeros = sum(x == 0 for x in known.values())
+    assert math.log(0.3 / 0.7) - model.offset == pytest.approx((strength[zeros - 1] + strength[zeros]) / 2)
+    got = pairwise_quality.score(docs, model).collect()
+    assert len(got) == 247 and all(r.predicted == (r.score >= 0.3) for r in got)
+    by_hand = lambda t: 1 / (1 + math.exp(-min(30, max(-30, float(((features(t) - model.center) / model.scale * model.weights).sum() + model.offset)))))
+    texts = dict(rows)
+    assert all(r.score == pytest.approx(by_hand(texts[r.doc_id])) for r in got if r.doc_id in texts)
+
+
+def test_kth_smallest(spark):
+    rng = random.Random(1)
+    values = [rng.gauss(0, 1) for _ in range(9000)] + [0.25] * 6000 + [1e300, -1e300]
+    df = spark.createDataFrame([(x,) for x in values], "s double")
+    for k in (1, 2, 5000, 9000, len(values)):
+        assert pairwise_quality.kth_smallest(df, "s", k) == sorted(values)[k - 1]
+
+
+def test_languages_by_brute_force(spark):
+    """Word first, then the longest known n-grams; names of languages are values, whatever they hold."""
+    rows = [(1, "the cat sat the mat", "en"), (2, "THE DOG the cat", "EN"), (3, "le chat le chien", "word"), (4, "el gato el perro", "a`b"), (5, "der hund der kater", "gram"), (6, "der hund", "gram"),
+            (6, "der hund", "gram"), (7, None, "en"), (8, "x", None)]
+    docs = spark.createDataFrame([(*r, "clash", 0.5) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    model = language_id.train(docs, F.lit(True))
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    for _, t, lang in dict.fromkeys(rows):
+        if t and lang:
+            for w in re.findall(r"[^\W\d_]+", t.lower()):
+                words[w][lang] += 1
+                for g in language_id.grams_of(w):
+                    grams[g][lang] += 1
+    names = sorted(["en", "EN", "word", "a`b", "gram"])
+
+    def logs(table):
+        kept = {k: v for k, v in table.items() if v.total() >= 2}
+        sums = [sum(v[x] for v in kept.values()) + 0.5 * (len(kept) + 1) for x in names]
+        return {k: [math.log((v[x] + 0.5) / s) for x, s in zip(names, sums, strict=True)] for k, v in kept.items()}, [math.log(0.5 / s) for s in sums]
+
+    word_logs, (gram_logs, floor) = logs(words)[0], logs(grams)
+
+    def expected(text):
+        found, total = re.findall(r"[^\W\d_]+", (text or "").lower()), np.zeros(len(names))
+        for w in found:
+            row = word_logs.get(w)
+            for n in range(language_id.MOST, 0, -1):
+                own = [gram_logs[g] for i in range(len(w) + 3 - n) if (g := f"^{w}$"[i : i + n]) in gram_logs]
+                if row is None and own:
+                    row = np.mean(own, axis=0)
+            total += floor if row is None else row
+        if not found:
+            return "und", 0.0
+        p = np.exp((total - total.max()) / len(found) * min(language_id.SCORE_WORDS, len(found)))
+        return names[int(np.argmax(total))], float(p.max() / p.sum())
+
+    texts = ["the hund", "chatte gatos", "kat", "zzz qqq", "der", "", "12", None, "le " * 5000, "chien perro dog hund"]
+    asked = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, lang_pred string")
+    for r in language_id.predict(asked, model).collect():
+        lang, score = expected(texts[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-3), texts[r.doc_id]
+    strict = language_id.train(spark.createDataFrame([(1, f"w{k} w{k}", "en") for k in "abcdefgh"], "doc_id long, text string, lang string"), F.lit(True), per_language=3)
+    assert len(strict.words) == 3
+
+
 def test_cache_keeps_two_ages():
     made = []
     cache = TwoAgeCache(lambda k: made.append(k) or k, 2)
