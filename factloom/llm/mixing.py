@@ -11,10 +11,12 @@ that hold a thousandth of all documents or more are split by a hash of the id, s
 
 Defined cases: a null text has size 0 and is never taken. A null source is a source of its own, the last. Equal rows
 are mixed each. A source without words has target 0. Reruns agree: nothing depends on partitions or their order.
+An empty table gives no rows. Columns other than id, source and text, of any name, play no part.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from factloom.llm.common import HOT_SHARE, global_rank, hash_unit, join_hot, materialize
 from factloom.llm.quality_rules import words
 
-#: Newton steps at most; the bracket halves at each at least, if Newton's step leaves it.
-MAX_STEPS = 80
+#: The bracket is halved at each such step, and at each where Newton's step leaves it, so that the steps come to an end.
+HALVING = 4
+#: Passes over the classes between two looks at what is left.
+PASSES = 6
 
 
 def water_fill(sources: DataFrame, share: float, cap: float) -> DataFrame:
@@ -55,8 +59,8 @@ def solve_dual(histogram: DataFrame, sources: DataFrame, cap: float) -> DataFram
         ).withColumn("done", F.col("target") >= F.col("total") * cap * (1 - 1e-12))
         .withColumn("lam", F.when(F.col("done"), 1e9).otherwise(F.col("lam")))
     )
-    for _ in range(MAX_STEPS):
-        if not state.filter(~F.col("done")).limit(1).count():
+    for k in itertools.count(1):
+        if state.filter(~F.col("done")).isEmpty():
             break
         x = F.col("lam") * F.col("size") / F.col("mean")
         free = x < math.log(cap)
@@ -68,8 +72,8 @@ def solve_dual(histogram: DataFrame, sources: DataFrame, cap: float) -> DataFram
         gap = F.col("tokens") - F.col("target")
         low, high = F.when(gap < 0, F.col("lam")).otherwise(F.col("low")), F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
         step = F.col("lam") - F.when(F.col("slope") > 0, gap / F.col("slope"))
-        ready = (F.abs(gap) <= F.greatest(F.lit(0.01), F.col("total") * 1e-9)) | (high - low < 1e-12 * F.abs(low))
-        moved = F.when(ready, F.col("lam")).when((step > low) & (step < high), step).otherwise((low + high) / 2)
+        ready = (F.abs(gap) <= F.greatest(F.lit(0.01), F.col("total") * 1e-9)) | (high - low <= 1e-12 * F.greatest(F.abs(low), F.abs(high)))
+        moved = F.when(ready, F.col("lam")).when((step > low) & (step < high) & F.lit(k % HALVING > 0), step).otherwise((low + high) / 2)
         stepped = state.join(sums, "_key", "left").select(
             "_key", "target", "total", "mean",
             F.when(F.col("tokens").isNull(), F.col("lam")).otherwise(moved).alias("lam"),
@@ -85,26 +89,49 @@ def tilted(exponent: Column, cap: float) -> Column:
     return F.when(exponent >= math.log(cap), F.lit(float(cap))).otherwise(F.exp(F.least(exponent, F.lit(math.log(cap)))))
 
 
-def round_classes(classes: DataFrame, cap: int, rounds: int = 10) -> DataFrame:
-    """Add ``copies`` (of all the class's documents together) to classes (_key, target, size, salt, n, rate)."""
+def take_up(out: DataFrame, copies: str, rest: str, cap: int) -> DataFrame:
+    """Passes over the classes of each source, the largest first, that take up what is left (``rest``) by what fits; the
+    last one's takes are in ``_take``."""
+    by_key = Window.partitionBy("_key")
+    before = by_key.orderBy(F.desc("size"), "salt").rowsBetween(Window.unboundedPreceding, -1)
+    for _ in range(PASSES):
+        more = F.col(rest) > 0
+        room = F.when(more, F.col("n") * cap - F.col(copies)).otherwise(F.col(copies))
+        out = out.withColumn("_room", F.when((F.col("size") > 0) & (F.col("size") <= F.abs(rest)), room).otherwise(F.lit(0)))
+        ahead = F.coalesce(F.sum(F.col("_room") * F.col("size")).over(before), F.lit(0))
+        take = F.greatest(F.lit(0), F.least(F.col("_room"), F.floor((F.abs(rest) - ahead) / F.greatest("size", F.lit(1)))))
+        out = out.withColumn("_take", F.when(more, take).otherwise(-take).cast("long"))
+        out = out.withColumns({copies: F.col(copies) + F.col("_take"), rest: F.col(rest) - F.sum(F.col("_take") * F.col("size")).over(by_key)})
+    return out.drop("_room")
+
+
+def round_classes(classes: DataFrame, cap: int) -> DataFrame:
+    """Add ``copies`` (of all the class's documents together) to classes (_key, target, size, salt, n, rate).
+
+    What rounding leaves of a target is taken up by what fits. Where nothing fits, one copy that is too much is tried and
+    what it exceeds the target by is taken back; it stays if a tenth of the gap is gained, so that the rounds come to an
+    end. A source has as many classes as distinct sizes, and at most HOT_SHARE more.
+    """
     by_key = Window.partitionBy("_key")
-    order = by_key.orderBy(F.desc("size"), "salt")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
     draw = hash_unit("_key", "size", "salt", seed=9)
     out = classes.withColumn("copies", F.least(F.floor(F.col("n") * F.col("rate") + draw), F.col("n") * cap).cast("long"))
     out = out.withColumn("_rest", F.col("target") - F.sum(F.col("copies") * F.col("size")).over(by_key))
-    for _ in range(rounds):
-        more = F.col("_rest") > 0
-        room = F.when(more, F.col("n") * cap - F.col("copies")).otherwise(F.col("copies"))
-        out = out.withColumn("_room", F.when((F.col("size") > 0) & (F.col("size") <= F.abs("_rest")), room).otherwise(F.lit(0)))
-        ahead = F.coalesce(F.sum(F.col("_room") * F.col("size")).over(before), F.lit(0))
-        take = F.greatest(F.lit(0), F.least(F.col("_room"), F.floor((F.abs("_rest") - ahead) / F.greatest("size", F.lit(1)))))
-        out = out.withColumn("_take", F.when(more, take).otherwise(-take).cast("long"))
-        out = out.withColumns({
-            "copies": F.col("copies") + F.col("_take"),
-            "_rest": F.col("_rest") - F.sum(F.col("_take") * F.col("size")).over(by_key),
-        })
-    return out.drop("_rest", "_room", "_take")
+    while True:
+        out = materialize(take_up(out, "copies", "_rest", cap).withColumnRenamed("_take", "_last"))
+        room = F.when(F.col("_rest") > 0, F.col("n") * cap - F.col("copies")).otherwise(F.col("copies"))
+        gap = F.when((room > 0) & (F.col("size") > 0), F.abs(F.col("size") - F.abs("_rest")))
+        nearest = F.row_number().over(by_key.orderBy(F.coalesce(gap, F.lit(math.inf)), "size", "salt")) == 1
+        one = F.when(nearest & gap.isNotNull() & (F.abs("_rest") >= 1), F.signum("_rest")).otherwise(F.lit(0)).cast("long")
+        trial = out.withColumn("_one", one).withColumns({
+            "_copies": F.col("copies") + F.col("_one"), "_left": F.col("_rest") - F.sum(F.col("_one") * F.col("size")).over(by_key)})
+        trial = take_up(trial, "_copies", "_left", cap)
+        better = F.abs("_left") <= 0.9 * F.abs("_rest")
+        trial = trial.withColumn("_better", better & (F.abs("_rest") >= 1)).withColumns({
+            "copies": F.when(F.col("_better"), F.col("_copies")).otherwise(F.col("copies")), "_rest": F.when(F.col("_better"), F.col("_left")).otherwise(F.col("_rest"))})
+        trial = materialize(trial.drop("_one", "_copies", "_left", "_take"))
+        if trial.filter("_better or _last != 0").isEmpty():
+            return trial.drop("_rest", "_last", "_better")
+        out = trial.drop("_last", "_better")
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text",
