@@ -1,13 +1,16 @@
 """WARC archives: revisit resolution, deduplicated writing and reading.
 
-Only headers (digest, id, URL, size) are shuffled to find the record that each group of equal payloads keeps;
-the payloads then meet their verdict in one join by digest, in which digests of many records stay in place.
+Only headers (digest, id, URL, size) are shuffled to find the record that each group of equal payloads keeps.
+Records whose digest a Bloom filter of the repeated digests doesn't have stay where they are, as responses; the others
+meet their verdict in one join by digest, in which digests of many records stay in place, too.
 Archives are written by Spark's own text writer (CR LF CR LF ends a record, as the format asks), thus to any
 store that Spark can write, and read by ``binaryFile`` and a parser that follows Content-Length.
 
 Defined cases: a null payload is the empty one. Equal rows (same id, same payload) are one capture; each of them
 is a response if its id is the kept one. A null id is smaller than all others. A null URL gives no
-WARC-Target-URI. CR and LF in a URL are percent-encoded. An empty table gives no archive records.
+WARC-Target-URI. CR and LF in a URL are percent-encoded, ids wholly; an empty id is read back as null. An empty table gives
+no archive records. Files are read whole: ``per_file`` records of an archive should compress to less than 2 GB. Columns
+other than id, URL and payload, of any name, play no part.
 """
 
 from __future__ import annotations
@@ -17,16 +20,20 @@ import gzip
 import hashlib
 import io
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import join_hot, materialize, shared_dir
+from factloom.llm.url_filter import build_filter
 
 ID_PREFIX = "urn:x-record:"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
+#: Repeated digests at most for which a Bloom filter (10 bits each) spares single records the shuffle.
+MOST_FILTERED = 10_000_000
 READ_SCHEMA = (
     "record_id string, target_uri string, record_type string, refers_to string, "
     "payload_digest string, payload_bytes long, payload binary"
@@ -58,9 +65,15 @@ def resolve_revisits(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
     first = materialize(
         captures.filter(large).groupBy("_digest").agg(
             F.max("_id").alias("_original"), F.max_by("_url", "_id").alias("_original_url"), F.count("*").alias("_n"))
+        .filter("_n > 1").withColumnRenamed("_digest", "_key")
     )
-    keyed = captures.withColumn("_key", F.when(large, F.col("_digest")))
-    joined = join_hot(keyed, first.withColumnRenamed("_digest", "_key"), "_key", "_n").drop("_key")
+    n = first.count()
+    again = large
+    if n <= MOST_FILTERED:
+        again = large & build_filter(first.select(F.col("_key").alias("key")), n, 0.01, 1).has(F.col("_digest"))
+    single = [F.lit(None).cast(f.dataType).alias(f.name) for f in first.schema if f.name in ("_original", "_original_url")]
+    joined = join_hot(captures.filter(again).withColumn("_key", F.col("_digest")), first, "_key", "_n").drop("_key")
+    joined = captures.filter(~again).select("*", *single).unionByName(joined)
     revisit = F.col("_original").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_original"))
     return joined.select(
         "_id", "_url", "_payload", "_bytes", "_digest",
@@ -76,7 +89,8 @@ def _uri(name: str, value: Column) -> Column:
 
 
 def _record_uri(value: Column) -> Column:
-    return F.concat(F.lit(f"<{ID_PREFIX}"), F.coalesce(value.cast("string"), F.lit("null")), F.lit(">"))
+    """The id, percent-encoded; a null id has no text at all."""
+    return F.concat(F.lit(f"<{ID_PREFIX}"), F.coalesce(F.url_encode(value.cast("string")), F.lit("")), F.lit(">"))
 
 
 def warc_record(date: str) -> Column:
@@ -101,7 +115,7 @@ def warc_record(date: str) -> Column:
     )
 
 
-def write_archives(resolved: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", per_file: int = 10_000) -> None:
+def write_archives(resolved: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", per_file: int = 2000) -> None:
     """Write gzip-compressed archives of at most ``per_file`` records each below ``path``."""
     (
         resolved.select(warc_record(date).alias("value")).write
@@ -145,8 +159,7 @@ def parse_archive(stream) -> Iterator[dict]:
 
 
 def _own_id(uri: str | None) -> str | None:
-    found = None if uri is None else uri.strip("<>").removeprefix(ID_PREFIX)
-    return None if found == "null" else found
+    return None if uri is None else unquote_plus(uri.strip("<>").removeprefix(ID_PREFIX)) or None
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
