@@ -29,7 +29,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import TwoAgeCache
+from factloom.llm.common import TwoAgeCache, free_name
 
 END = "</w>"
 #: White space by Unicode's property; Python's own notion adds the separators U+001C to U+001F.
@@ -272,16 +272,22 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Add ``ids`` (array<int>) and ``decoded`` for every row of ``docs``."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    """Add ``ids`` (array<int>) and ``decoded`` for every row of ``docs``; columns that have these names are replaced.
+
+    A null text counts as empty. Repeated rows are encoded each; an empty table gives no rows.
+    """
+    kept = [f for f in docs.schema if f.name.lower() not in ("ids", "decoded")]
+    value = free_name(docs.columns, "_text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = tokenizer(path)
         for batch in batches:
-            ids = [own.encode(x) for x in batch[text]]
-            yield batch.assign(ids=[np.frombuffer(x, dtype="<i4") for x in ids], decoded=[own.decode(x) for x in ids])
+            ids = [own.encode(x) for x in batch[value]]
+            yield batch.drop(columns=value).assign(ids=[np.frombuffer(x, dtype="<i4") for x in ids], decoded=[own.decode(x) for x in ids])
 
-    return docs.mapInPandas(run, f"{schema}, ids array<int>, decoded string")
+    rows = docs.select(*[docs[f.name] for f in kept], docs[text].alias(value))
+    return rows.mapInPandas(run, f"{schema}{', ' if kept else ''}ids array<int>, decoded string")
 
 
 def digest_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:

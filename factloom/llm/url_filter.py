@@ -10,7 +10,8 @@ filters are larger is looked up by an exact semi-join instead (``listed_by_join`
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and fits no rule. Rules are literal: host
 and path compare byte by byte after A-Z are lower-cased in the host. A rule in both lists blocks. Equal rules count once;
-an empty list lists nothing. Of several rules that fit, the longest text wins, then the longest host.
+an empty list lists nothing. Of several rules that fit, the longest text wins, then the longest host. Repeated rows are
+judged each; an empty table gives no rows. Columns named host, path, rule or verdict are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialize
+from factloom.llm.common import free_name, join_hot, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits in a byte of a filter: bytes below 128 are read back by ascii().
@@ -170,26 +171,28 @@ def judge(urls: DataFrame, rules: Rules, url: str = "url", unlisted: str = "allo
     if None in cascades.values():
         return judge_by_join(urls, rules, url, unlisted)
     blocked, allowed = cascades["block"], cascades["allow"]
-    keyed = urls.withColumns({"host": host, "path": path})
-    keyed = keyed.withColumn("_keys", candidates(F.col("host"), F.col("path"), rules))
-    hit = F.get(F.filter("_keys", lambda k: blocked.has(k) | allowed.has(k)), F.lit(0))
-    judged = keyed.withColumn("rule", hit)
+    keys = free_name(urls.columns, "_keys")
+    keyed = urls.withColumn(keys, candidates(host, path, rules)).withColumns({"host": host, "path": path})
+    judged = keyed.withColumn("rule", F.get(F.filter(keys, lambda k: blocked.has(k) | allowed.has(k)), F.lit(0)))
     verdict = F.when(F.col("rule").isNull(), F.lit(unlisted)).when(blocked.has(F.col("rule")), "block").otherwise("allow")
-    return judged.withColumn("verdict", verdict).drop("_keys")
+    return judged.withColumn("verdict", verdict).drop(keys)
 
 
 def judge_by_join(urls: DataFrame, rules: Rules, url: str = "url", unlisted: str = "allow") -> DataFrame:
-    """The same for lists whose filters exceed the bound: keys that occur are looked up by a join, once each."""
+    """The same for lists whose filters exceed the bound: URLs that occur are looked up by a join, once each; the rows of
+    a frequent URL stay where they are."""
     spark = urls.sparkSession
     host, path = url_host(F.col(url)), url_path(F.col(url))
     listed = rules.keys(spark, "block").withColumn("_v", F.lit("block")).unionByName(rules.keys(spark, "allow").withColumn("_v", F.lit("allow")))
-    distinct = urls.select(F.col(url).alias("_url")).distinct().withColumn("_keys", candidates(url_host(F.col("_url")), url_path(F.col("_url")), rules))
-    best = (
-        distinct.select("_url", F.explode("_keys").alias("key")).join(listed, "key")
-        .groupBy("_url").agg(F.min(F.struct((-F.length("key")).alias("n"), (-F.instr("key", "/")).alias("h"), F.col("key"), F.col("_v"))).alias("_best"))
-    )
-    out = urls.withColumns({"host": host, "path": path}).join(best, F.col(url).eqNullSafe(F.col("_url")), "left")
-    return out.withColumns({"rule": F.col("_best.key"), "verdict": F.coalesce(F.col("_best._v"), F.lit(unlisted))}).drop("_url", "_best")
+    key = free_name(urls.columns, "_url")
+    count, found = free_name(urls.columns, "_n"), free_name(urls.columns, "_best")
+    distinct = urls.filter(F.col(url).isNotNull()).groupBy(F.col(url).alias(key)).agg(F.count("*").alias(count))
+    distinct = materialize(distinct)
+    keys = distinct.select(key, F.explode(candidates(url_host(F.col(key)), url_path(F.col(key)), rules)).alias("key"))
+    best = keys.join(listed, "key").groupBy(key).agg(F.min(F.struct((-F.length("key")).alias("n"), (-F.instr("key", "/")).alias("h"), F.col("key"), F.col("_v"))).alias(found))
+    out = join_hot(urls.withColumn(key, F.col(url)), materialize(distinct.join(best, key)), key, count)
+    return out.withColumns({"host": host, "path": path}).withColumns({
+        "rule": F.col(f"{found}.key"), "verdict": F.coalesce(F.col(f"{found}._v"), F.lit(unlisted))}).drop(key, found)
 
 
 #: The rules of the query.

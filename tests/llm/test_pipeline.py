@@ -52,12 +52,50 @@ def test_stages(spark, sf):
     assert Counter((r.doc_id, r.n_tokens) for r in after.collect()) == expected
 
 
-def test_columns_with_clashing_names(spark):
-    """Stages keep extra columns, whatever their names."""
-    rows = [(i, f"word{i} " * 3 + "some text here", "en", f"s{i % 2}", 9, 0.5, i, "x") for i in range(12)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, copies int, mark string")
-    for _, stage in corpus_pipeline.STAGES[2:4]:
-        assert stage(spark, docs, "").columns == docs.columns
+@pytest.fixture(scope="module")
+def labels_dir(spark, tmp_path_factory):
+    """A folder with labels of documents 0 to 39: the odd ones are toxic, those from 20 on are good."""
+    path = f"file://{tmp_path_factory.mktemp('labels')}"
+    spark.createDataFrame([(i, int(i >= 20), i % 2) for i in range(40)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, score double, copies int, mark string, _copy int, _id int, _text int, label int, _row int"
+
+
+def clashing(spark, n=40):
+    rows = [(i, f"word{i} " * 3 + ("vile scum " if i % 2 else "kind friend ") + ("clear sentence here " * 4 if i >= 20 else "### BUY !!! "), "en", f"s{i % 2}", 9, 0.5, i, "x", 99, 98, 97, 96, 95) for i in range(n)]
+    return spark.createDataFrame(rows, CLASHING)
+
+
+def test_columns_with_clashing_names(spark, labels_dir):
+    """Stages keep extra columns and their values, whatever their names."""
+    docs = clashing(spark)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, labels_dir)
+        assert out.columns == docs.columns
+        assert {tuple(r[5:6]) + tuple(r[7:]) for r in out.collect()} == {(0.5, "x", 99, 98, 97, 96, 95)}
+    assert sorted(r.doc_id for r in corpus_pipeline.clean(spark, docs, labels_dir).collect()) == list(range(0, 40, 2))
+    assert sorted(r.doc_id for r in corpus_pipeline.good(spark, docs, labels_dir).collect()) == list(range(20, 40))
+    assert corpus_pipeline.encoded(spark, docs, labels_dir).count() == 40
+
+
+def test_empty_tables(spark, labels_dir):
+    empty = clashing(spark).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, labels_dir).count() == 0
+
+
+def test_classifier_stages_decide_by_row(spark, labels_dir):
+    """Null and repeated ids, null, empty and very long texts."""
+    docs = clashing(spark).select("doc_id", "text", "source")
+    odd = [(None, "vile scum vile scum", "s"), (None, "kind friend here", "s"), (0, "vile scum " * 30_000, "s"), (0, "kind friend " * 30_000, "s"), (0, "kind friend " * 30_000, "s"), (7, None, None), (8, "", "s")]
+    both = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, source string"))
+    kept = Counter(tuple(r) for r in corpus_pipeline.clean(spark, both, labels_dir).collect())
+    assert kept[odd[0]] == 0 and kept[odd[1]] == 1 and kept[odd[2]] == 0 and kept[odd[3]] == 2
+    assert kept[odd[5]] == kept[odd[6]]
+    good = Counter(tuple(r) for r in corpus_pipeline.good(spark, both, labels_dir).collect())
+    assert good[odd[3]] in (0, 2) and good[odd[5]] == good[odd[6]]
 
 
 ODD = "doc_id long, text string, source string"

@@ -106,6 +106,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.op1(spark, spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_warc_ids_of_any_kind(spark, tmp_path):
+    """Ids are text, null apart from the text null, and come back whole."""
+    rows = [("a <b> %\r\nc", "p"), ("null", "q"), (None, "r"), ("é+ x", "p")]
+    path = f"file://{tmp_path}/ids"
+    warc.deduplicate(spark.createDataFrame([(i, None, h) for i, h in rows], "page_id string, url string, html string"), path)
+    got = {(r.record_id, r.record_type, r.refers_to) for r in warc.read_archives(spark, path).collect()}
+    assert got == {("a <b> %\r\nc", "revisit", "é+ x"), ("null", "response", None), (None, "response", None), ("é+ x", "response", None)}
+
+
 def test_broken_archives():
     import io
 
@@ -137,6 +146,25 @@ def test_url_rules(spark, by_join):
     assert got == {i: plain_verdict(u, url_filter.PAGE_RULES.rows) for i, u in enumerate(URLS + URLS[3:9])}
 
 
+@pytest.mark.parametrize("judge", [url_filter.judge, url_filter.judge_by_join])
+def test_url_rules_on_odd_tables(spark, judge):
+    """Empty tables, repeated rows, a frequent URL and columns of clashing names."""
+    schema = "page_id long, url string, host int, verdict int, _keys string, _url string, _n int, key int"
+    rows = [(i, "http://a.net/fr/x", 1, 2, "k", "u", 3, 4) for i in range(50)] + [(7, None, 1, 2, "k", "u", 3, 4)] * 30
+    out = judge(spark.createDataFrame(rows, schema), url_filter.PAGE_RULES)
+    got = Counter((r.host, r.path, r.rule, r.verdict, r._keys, r._url, r._n, r.key) for r in out.collect())
+    assert got == {("a.net", "/fr/x", "net/fr/", "block", "k", "u", 3, 4): 50, ("", "", None, "allow", "k", "u", 3, 4): 30}
+    assert judge(spark.createDataFrame([], schema), url_filter.PAGE_RULES).count() == 0
+
+
+def test_bpe_on_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "a b", [9], "x", 5), (1, "a b", [9], "x", 5)], "doc_id long, text string, ids array<int>, decoded string, _text int")
+    out = bpe.encode_documents(docs, queries.tokenizer_path())
+    assert [(r.doc_id, r.decoded, r._text, len(r.ids)) for r in out.collect()] == [(1, "a</w> b</w>", 5, 2)] * 2  # the file names no decoder
+    for run in (bpe.encode_documents, bpe.digest_documents):
+        assert run(docs.limit(0), queries.tokenizer_path()).count() == 0
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     listed = universe.filter(F.xxhash64("key") % 7 == 0)
