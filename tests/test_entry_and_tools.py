@@ -1,7 +1,7 @@
 """The driver's contract, the tools and the stream."""
 
-import importlib.util
 import json
+import sys
 
 import pytest
 
@@ -16,7 +16,16 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert ("pipeline" in entry.queries()) == (importlib.util.find_spec("corpus_pipeline") is not None)
+
+
+def test_core_queries_need_no_other_subpackage(monkeypatch):
+    """Without the training-data operators, or a package that they need, the others stay."""
+    from factloom import queries as core
+
+    monkeypatch.setitem(sys.modules, "factloom.llm", None)
+    monkeypatch.delitem(sys.modules, "factloom.llm.queries", raising=False)
+    monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
+    assert set(entry.queries()) == set(core.QUERIES) and set(entry.oracle_sql()) == set(core.SQL)
 
 
 NAMES = ["dsl_numeric_and_contains", "dsl_array_any", "rule_match_modes", "asof_backward", "band_join", "longest_prefix", "unique_candidate_match", "surrogate_ids", "slice_diff", "export_mermaid"]
