@@ -1,4 +1,16 @@
-"""A training corpus from raw documents, in five stages; each works on all that the one before it kept."""
+"""A training corpus from raw documents, in five stages; each works on all that the one before it kept.
+
+Rows are decided one by one. A row is told apart by a number that the stage gives it, never by its id, so that null and
+repeated ids are no special case: rejection, near-duplicates and copies concern the row. Columns of any name stay as they
+are, but for the last stage, which returns its result's. An empty table gives an empty one.
+
+Defined cases, by stage. A null text is the empty one throughout, and texts are read whole, however long they are.
+toxicity and quality classifier: equal texts get one verdict; labels of null ids don't count; without labels of both
+classes the score is the smoothed share of label 1, so that all rows stay or all go. near-duplicates: of a group the row
+with the smallest id stays, of equal ids that with the smallest row number, a null id being the last; rows without words
+are linked with nothing and stay. mixing: a null source is a source of its own; rows without words are taken never;
+equal rows are drawn each. bpe: each row is encoded, without words to no token.
+"""
 
 from __future__ import annotations
 
