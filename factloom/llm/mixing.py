@@ -28,7 +28,7 @@ from factloom.llm.quality_rules import words
 #: The bracket is halved at each such step, and at each where Newton's step leaves it, so that the steps come to an end.
 HALVING = 4
 #: Passes over the classes between two looks at what is left.
-PASSES = 6
+PASSES = 3
 
 
 def water_fill(sources: DataFrame, share: float, cap: float) -> DataFrame:

@@ -168,9 +168,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column:
         for batch in batches:
             yield pd.DataFrame({"id": batch["_id"].astype(str), "label": batch["_label"], "x": [features(t).tobytes() for t in batch["_text"]]})
 
-    found = sorted((r.id, r.label, bytes(r.x)) for r in rows.mapInPandas(extract, "id string, label int, x binary").collect())
-    x = np.array([np.frombuffer(r[2]) for r in found], dtype=np.float64).reshape(-1, N_FEATURES)
-    model = fit(x, np.array([r[1] for r in found]), sizes)
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = sorted((a, b, bytes(c)) for batch in batches for a, b, c in zip(batch["id"], batch["label"], batch["x"], strict=True))
+        x = np.array([np.frombuffer(r[2]) for r in found], dtype=np.float64).reshape(-1, N_FEATURES)
+        own = fit(x, np.array([r[1] for r in found]), sizes)
+        yield pd.DataFrame({"center": [own.center.tobytes()], "scale": [own.scale.tobytes()], "weights": [own.weights.tobytes()], "offset": [own.offset]})
+
+    # the bounded sample meets in one task, not on the driver, which gets the weights only
+    found = materialize(rows.mapInPandas(extract, "id string, label int, x binary"))
+    learned = found.coalesce(1).mapInPandas(learn, "center binary, scale binary, weights binary, offset double").collect()
+    if learned:
+        model = Model(*(np.frombuffer(learned[0][k]) for k in range(3)), learned[0].offset)
+    else:
+        model = fit(np.zeros((0, N_FEATURES)), np.zeros(0), sizes)
     if not model.weights.any():
         return model
     cut = threshold(docs, known, model, id_column, fold, text)

@@ -87,7 +87,7 @@ def fit(features: list[tuple[int, np.ndarray, np.ndarray]], sizes: dict[int, int
         least_documents: int = 4, penalty: float = 1e-3, steps: int = 80, block: int = 1 << 18) -> Model:
     """Logistic regression on the scaled counts, by full-batch Adam; features: (label, n-grams, counts).
 
-    The driver holds the features as given, those kept as (column, value) of 8 bytes, and temporaries of ``block`` entries.
+    It holds the features as given, those kept as (column, value) of 8 bytes, and temporaries of ``block`` entries.
     """
     space = 1 << SPACE_BITS
     if {x[0] for x in features} != {0, 1}:
@@ -148,12 +148,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
                 index, count = document_grams(a)
                 yield pd.DataFrame({"label": [b], "index": [index.tobytes()], "count": [count.astype(np.int32).tobytes()]})
 
-    # bytes, not lists: the sample stays compact on its way to the driver, which reads a partition at a time
-    found = materialize(rows.mapInPandas(extract, "label int, index binary, count binary")).toLocalIterator()
-    features = [(r["label"], np.frombuffer(r["index"], dtype=np.int32), np.frombuffer(r["count"], dtype=np.int32)) for r in found]
-    # the order in which files are read doesn't matter
-    features.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()[:64]))
-    return fit(features, sizes)
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        features = [(a, np.frombuffer(b, dtype=np.int32), np.frombuffer(c, dtype=np.int32)) for batch in batches for a, b, c in zip(batch["label"], batch["index"], batch["count"], strict=True)]
+        # the order in which files are read doesn't matter
+        features.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()[:64]))
+        model = fit(features, sizes)
+        yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
+
+    # the bounded sample meets in one task, not on the driver, which gets the weights only
+    found = materialize(rows.mapInPandas(extract, "label int, index binary, count binary"))
+    learned = found.coalesce(1).mapInPandas(learn, "weights binary, bias double").collect()
+    return Model(np.frombuffer(learned[0].weights, dtype=np.float32), learned[0].bias) if learned else fit([], sizes)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
