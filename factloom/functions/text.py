@@ -20,11 +20,12 @@ DECLARATIONS = {
     "fsharp": r"(?i)^(?:let|member)\s+",
     "cpp": r"^[\w:<>*&\s]+\s+\w+\s*\([^;]*\)\s*(?:const\s*)?\{?$",
 }
-#: Declarations that set the context by language: namespace, class, method.
+#: Declarations that set the context by language, (pattern, group) of namespace, class and method.
+CPP_CONTEXT = r"(?:(\w+)::)?(\w+)\s*\([^;]*\)\s*(?:const\s*)?\{"
 CONTEXT = {
-    "fsharp": (r"^(?:namespace|module)\s+([\w\.]+)", r"^type\s+(\w+)", r"^(?:let|member)\s+(?:rec\s+)?(?:\w+\.)?(\w+)"),
-    "r": (None, None, r"^(\w+)\s*(?:<-|=)\s*function\s*\("),
-    "cpp": (None, r"(\w+)::\w+\s*\([^;]*\)\s*(?:const\s*)?\{", r"(?:\w+::)?(\w+)\s*\([^;]*\)\s*(?:const\s*)?\{"),
+    "fsharp": ((r"^(?:namespace|module)\s+([\w\.]+)", 1), (r"^type\s+(\w+)", 1), (r"^(?:let|member)\s+(?:rec\s+)?(?:\w+\.)?(\w+)", 1)),
+    "r": (None, None, (r"^(\w+)\s*(?:<-|=)\s*function\s*\(", 1)),
+    "cpp": (None, (CPP_CONTEXT, 1), (CPP_CONTEXT, 2)),
 }
 #: Part, rule, severity of misuse in a line.
 MISUSES = (
@@ -52,7 +53,7 @@ def with_context(rows: DataFrame, file: str = "path", language: str = "language"
         found = F.lit(None).cast("string")
         for key, patterns in CONTEXT.items():
             if patterns[i]:
-                found = F.when(F.col(language) == key, F.regexp_extract(trimmed, patterns[i], 1)).otherwise(found)
+                found = F.when(F.col(language) == key, F.regexp_extract(trimmed, *patterns[i])).otherwise(found)
         columns[name] = F.when(found != "", found)
     w = Window.partitionBy(file).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumns({k: F.last(v, ignorenulls=True).over(w) for k, v in columns.items()})

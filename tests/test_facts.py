@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom import queries
 from factloom.functions import scalars, text
-from factloom.operators import aggregates, crypto, exports, frontends, graph, joins, rules, taint
+from factloom.operators import aggregates, crypto, exports, frontends, graph, joins, line_frontends, rules, taint
 from factloom.sources import files
 
 
@@ -157,6 +157,52 @@ def test_frontends(spark):
     assert frontends.entry_points(frontends.extract(df), frontends.endpoints(df)).count() == 3
 
 
+FSHARP = """namespace Shop.Core
+open type System.Math
+let before = 1
+type Cart() =
+    member this.Total items =
+        let inner = sum items
+        printfn "x" inner
+    member this.Clear (x) = reset x
+module Shop.Tools
+let rec run x =
+  if run (x) then Helper.go x
+let ``odd`` = 1
+"""
+CPP = """#include <x.h>
+setup(1);
+int fact(int n) { return n < 2 ? 1 : n * fact(n - 1); }
+int A::run(int a)
+{
+  go<int>(a); std::sort(a); while (a) {}
+}
+"""
+R = """x <- read(1)
+library(httr); require("dplyr")
+f <- function(a) {
+  g(h(a)); httr::GET(a); if (a) 1
+}
+"""
+
+
+def test_line_frontends(spark):
+    """Deeper lets are no declarations, recursive calls are calls, and calls outside functions belong to the file."""
+    rows = [("s/a.fs", "fsharp", FSHARP), ("s/b.cpp", "cpp", CPP), ("s/c.R", "r", R), ("s/d.R", "r", "")]
+    facts = line_frontends.extract(spark.createDataFrame(rows, "path string, language string, text string")).collect()
+    of = lambda path, kind: sorted((r.line, r.column, r.namespace, r["class"], r.name) for r in facts if r.path == path and r.fact == kind)
+    assert of("s/a.fs", "dependency") == [(1, 11, "Shop.Core", "Core", "Shop.Core"), (2, 11, "Shop.Core", "Core", "System.Math"), (9, 8, "Shop.Tools", "Tools", "Shop.Tools")]
+    assert of("s/a.fs", "method") == [(3, 5, "Shop.Core", "Core", "before"), (5, 17, "Shop.Core", "Cart", "Total"), (8, 17, "Shop.Core", "Cart", "Clear"), (10, 9, "Shop.Tools", "Tools", "run")]
+    calls = {(r.line, r.column, r.name, r.detail) for r in facts if r.path == "s/a.fs" and r.fact == "call"}
+    assert {(7, 9, "printfn", "Total"), (8, 29, "reset", "Clear"), (11, 26, "go", "run")} <= calls and not any(line in (1, 2, 4, 6, 9) for line, *_ in calls)
+    assert of("s/b.cpp", "method") == [(1, 1, "C++", "b", "translation_unit"), (3, 5, "C++", "b", "fact"), (4, 8, "C++", "A", "run")]
+    assert {(r.line, r.column, r.name, r.detail) for r in facts if r.path == "s/b.cpp" and r.fact == "call"} == {
+        (2, 1, "setup", "translation_unit"), (3, 42, "fact", "fact"), (6, 3, "go", "run"), (6, 15, "std::sort", "run")}
+    assert of("s/c.R", "dependency") == [(2, 1, "R", "c", "httr"), (2, 16, "R", "c", "dplyr")]
+    assert of("s/c.R", "method") == [(1, 1, "R", "c", "script"), (3, 1, "R", "c", "f")] and of("s/d.R", "method") == [(1, 1, "R", "d", "script")]
+    assert {(r.line, r.column, r.name, r.detail) for r in facts if r.path == "s/c.R" and r.fact == "call"} == {(1, 6, "read", "script"), (4, 3, "g", "f"), (4, 5, "h", "f"), (4, 12, "httr::GET", "f")}
+
+
 def test_packages_and_archives(spark):
     import io
     import zipfile
