@@ -54,6 +54,8 @@ SINGLE, SEVERAL = 2, 3
 LEAF = 512
 #: Sketches in a block (24 bytes each), and a set's best candidates that are tried before blocks of full sets.
 SKETCH_BLOCK, BEST = 4096, 4
+#: Links at most whose components are found in one task (16 bytes each); with more, steps over all of them come before.
+TOGETHER = 1_000_000
 #: Nodes at most whose keys are broadcast (16 bytes each); with more, only those of most rows are.
 MOST_BROADCAST = 200_000
 #: Ids at most for which a Bloom filter (10 bits each) goes before the texts' join; it only spares work.
@@ -485,10 +487,11 @@ def large_links(members: DataFrame, texts: DataFrame, percent: int, size: int, l
     pairs = materialize(sketch_pairs(own, sizes, least, BEST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     two = pairs.select(F.xxhash64("a", "b").alias("cluster"), F.explode(F.array("a", "b")).alias("v")).join(text, "v")
     tried = materialize(confirm(two.withColumn("side", F.lit(0)), percent, size))
-    # far sets that still have a candidate in another component, with all their candidates, block by block
     links = links.unionByName(tried)
-    roots = components(links)
-    own = materialize(own.drop("label").join(roots, "v", "left").withColumn("label", F.coalesce("root", "v")).drop("root"))
+    # far sets that are linked with one of the central set's now, and those that still have another candidate, block by block
+    ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    joined = ways.join(own.filter("not far").select(F.col("v").alias("b"), F.col("label").alias("center")), "b").groupBy(F.col("a").alias("v")).agg(F.min("center").alias("center"))
+    own = materialize(own.join(joined, "v", "left").withColumn("label", F.coalesce("center", "label")).drop("center"))
     rest = materialize(sketch_pairs(own, sizes, least, None))
     if rest.isEmpty():
         return links
@@ -507,13 +510,18 @@ def large_links(members: DataFrame, texts: DataFrame, percent: int, size: int, l
     return links.unionByName(confirm(both.join(text, "v"), percent, size, True))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(v, root) of all vertices of ``links`` (a, b), by large-star and small-star steps until nothing changes; a hub's
-    links stay apart in the joins."""
+def components(links: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """(v, root) of all vertices of ``links`` (a, b), root being the smallest vertex of a component.
+
+    Large-star and small-star steps run until nothing changes; a hub's links stay apart in their joins. What has at most
+    ``together`` links, from the start or after some steps, is finished in one task.
+    """
     pairs = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).filter("u != w").distinct())
     signature = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "w")), F.bit_xor(F.xxhash64("w", "u"))).first())
     before = signature(pairs)
     while before[0]:
+        if before[0] <= together:
+            return materialize(pairs.coalesce(1).mapInPandas(roots_of, "v long, root long"))
         # large star: each vertex's larger neighbours get its smallest neighbour
         both = pairs.unionByName(pairs.select(F.col("w").alias("u"), F.col("u").alias("w")))
         least = materialize(both.groupBy("u").agg(F.least(F.first("u"), F.min("w")).alias("_m"), F.count("*").alias("_n")))
@@ -531,6 +539,26 @@ def components(links: DataFrame) -> DataFrame:
     return ends.unionByName(ends.select(F.col("root").alias("v"), "root").distinct())
 
 
+def roots_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The smallest vertex of each one's component, of all links of a stream."""
+    found = [f[["u", "w"]].to_numpy() for f in frames]
+    if not found:
+        return
+    ids, at = np.unique(np.concatenate(found), return_inverse=True)
+    at, label = at.reshape(-1, 2), np.arange(len(ids))
+    while True:
+        new = label.copy()
+        least = np.minimum(label[at[:, 0]], label[at[:, 1]])
+        for side in (0, 1):
+            np.minimum.at(new, at[:, side], least)
+            np.minimum.at(new, label[at[:, side]], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pd.DataFrame({"v": ids, "root": ids[label]})
+
+
 def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (own, and others) with the text of each row ``own``.
 

@@ -129,9 +129,10 @@ def test_confirming_has_no_sketch_cut(spark):
     assert neardup.confirm(frame, 80, 2, True).count() == len(rows) - 1
 
 
-def test_components_of_a_chain_and_a_hub(spark):
+@pytest.mark.parametrize("together", [0, 100, 10**6])
+def test_components_of_a_chain_and_a_hub(spark, together):
     links = [(k, k + 1) for k in range(0, 70)] + [(100, k) for k in range(101, 200)] + [(300, k) for k in range(201, 290)]
-    got = {r.v: r.root for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.v: r.root for r in neardup.components(spark.createDataFrame(links, "a long, b long"), together).collect()}
     assert got == {**{k: 0 for k in range(71)}, **{k: 100 for k in range(100, 200)}, **{k: 201 for k in [*range(201, 290), 300]}}
 
 
