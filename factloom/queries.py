@@ -201,8 +201,8 @@ def anti_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.without_match(t(spark, sf_dir, "documents").select("doc_id"), t(spark, sf_dir, "labels"), ["doc_id"])
 
 
-def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """region -> nation -> customer -> order -> part."""
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """region -> nation -> customer -> order -> part, a line's edge as often as it occurs."""
     edge = lambda df, a, pa, b, pb: df.select(F.concat(F.lit(pa), F.col(a).cast("string")).alias("source_id"), F.concat(F.lit(pb), F.col(b).cast("string")).alias("target_id"))
     parts = [
         edge(t(spark, sf_dir, "nation"), "n_regionkey", "r", "n_nationkey", "n"), edge(t(spark, sf_dir, "customer"), "c_nationkey", "n", "c_custkey", "c"),
@@ -210,7 +210,11 @@ def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    return out
+
+
+def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_edges(spark, sf_dir).distinct()
 
 
 EDGES_SQL = """e AS (SELECT 'r' || n_regionkey AS source_id, 'n' || n_nationkey AS target_id FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
@@ -219,7 +223,18 @@ EDGES_SQL = """e AS (SELECT 'r' || n_regionkey AS source_id, 'n' || n_nationkey
 
 @register("graph_edges", f"WITH {EDGES_SQL} SELECT * FROM e")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_edges(spark, sf_dir)
+    rows = all_edges(spark, sf_dir).withColumns({"kind": F.lit("key"), "label": F.lit(None).cast("string")})
+    return graph.distinct_edges(rows, [F.col("source_id")]).select("source_id", "target_id")
+
+
+@register("dangling_edges", f"""WITH {EDGES_SQL}, n AS (SELECT 'r' || r_regionkey AS id FROM region UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'c' || c_custkey FROM customer
+  UNION ALL SELECT 'o' || o_orderkey FROM orders WHERE o_totalprice > 100000 UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_size < 40)
+SELECT * FROM e WHERE source_id NOT IN (SELECT id FROM n) OR target_id NOT IN (SELECT id FROM n)""")
+def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = lambda df, prefix, key: df.select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"))
+    nodes = named(t(spark, sf_dir, "region"), "r", "r_regionkey").unionByName(named(t(spark, sf_dir, "nation"), "n", "n_nationkey")).unionByName(named(t(spark, sf_dir, "customer"), "c", "c_custkey"))
+    nodes = nodes.unionByName(named(t(spark, sf_dir, "orders").filter("o_totalprice > 100000"), "o", "o_orderkey")).unionByName(named(t(spark, sf_dir, "part").filter("p_size < 40"), "p", "p_partkey"))
+    return joins.dangling_edges(all_edges(spark, sf_dir), nodes).select("source_id", "target_id")
 
 
 @register("graph_bfs", f"WITH RECURSIVE {EDGES_SQL}, x(id, depth) AS (SELECT 'r0', 0 UNION SELECT target_id, depth + 1 FROM x JOIN e ON source_id = id) SELECT id, min(depth) AS depth FROM x GROUP BY id")
@@ -387,22 +402,21 @@ def export_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.mermaid(*nation_graph(spark, sf_dir)).select("text")
 
 
-@register("export_graphml", f"""WITH {NODES_SQL} SELECT '    <node id="' || id || '">' || chr(10) || '      <data key="label">' || label || '</data>' || chr(10) || '    </node>' AS text FROM k""")
+@register("export_graphml", f"""WITH {NODES_SQL}, e AS (SELECT *, row_number() OVER (ORDER BY s, t) AS n FROM (SELECT 'r' || n_regionkey AS s, 'n' || n_nationkey AS t FROM nation))
+SELECT '    <node id="' || id || '">' || chr(10) || '      <data key="label">' || label || '</data>' || chr(10) || '    </node>' AS text FROM k
+UNION ALL SELECT '    <edge id="e' || n || '" source="' || s || '" target="' || t || '">' || chr(10) || '      <data key="callType">has</data>' || chr(10) || '    </edge>' FROM e
+UNION ALL SELECT '  </graph>' || chr(10) || '</graphml>'
+UNION ALL SELECT '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' || chr(10) || string_agg('  <key id="' || k || '" for="' || f || '" attr.name="' || k
+  || '" attr.type="' || CASE k WHEN 'external' THEN 'boolean' ELSE 'string' END || '" />' || chr(10), '' ORDER BY o) || '  <graph id="callgraph" edgedefault="directed">'
+  FROM (VALUES {', '.join(f"({o}, '{f}', '{k}')" for o, (f, k) in enumerate([*(('node', k) for k in exports.GRAPHML_NODE_KEYS), *(('edge', k) for k in exports.GRAPHML_EDGE_KEYS)]))}) x(o, f, k)""")
 def export_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.graphml(*nation_graph(spark, sf_dir)).filter("part = 1").select("text")
+    nodes, edges = nation_graph(spark, sf_dir)
+    return exports.graphml(nodes, edges.withColumnRenamed("label", "callType")).select("text")
 
 
 @register("cbom_dependencies", """SELECT 'op' || o.o_custkey AS operation_id, string_agg(DISTINCT 'p' || l_partkey, ',' ORDER BY 'p' || l_partkey) AS depends_on
-FROM orders o JOIN lineitem ON l_orderkey = o_orderkey WHERE o.o_custkey % 10 = 0 GROUP BY 1""")
+FROM orders o JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def cbom_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = t(spark, sf_dir, "orders").filter("o_custkey % 10 = 0").groupBy(F.concat(F.lit("op"), F.col("o_custkey").cast("string")).alias("operation_id")).agg(F.collect_set("o_orderkey").alias("slice_ids"))
-    parts = t(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("material_id")).agg(F.collect_set("l_orderkey").alias("slice_ids"))
-    return crypto.dependencies(ops, parts).select("operation_id", F.array_join("depends_on", ",").alias("depends_on"))
-
-
-@register("cbom_dependencies_whole")
-def cbom_dependencies_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K9 over all orders; ``cbom_dependencies`` takes every tenth customer, as its SQL does."""
     ops = t(spark, sf_dir, "orders").groupBy(F.concat(F.lit("op"), F.col("o_custkey").cast("string")).alias("operation_id")).agg(F.collect_set("o_orderkey").alias("slice_ids"))
     parts = t(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("material_id")).agg(F.collect_set("l_orderkey").alias("slice_ids"))
     return crypto.dependencies(ops, parts).select("operation_id", F.array_join("depends_on", ",").alias("depends_on"))

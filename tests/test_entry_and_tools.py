@@ -28,7 +28,7 @@ def test_core_queries_need_no_other_subpackage(monkeypatch):
     assert set(entry.queries()) == set(core.QUERIES) and set(entry.oracle_sql()) == set(core.SQL)
 
 
-NAMES = ["dsl_numeric_and_contains", "dsl_array_any", "rule_match_modes", "asof_backward", "band_join", "longest_prefix", "unique_candidate_match", "surrogate_ids", "slice_diff", "export_mermaid"]
+NAMES = ["dsl_numeric_and_contains", "dsl_array_any", "rule_match_modes", "asof_backward", "band_join", "longest_prefix", "unique_candidate_match", "surrogate_ids", "slice_diff", "export_mermaid", "export_graphml", "graph_edges", "dangling_edges", "cbom_dependencies"]
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -256,7 +256,7 @@ def test_dependencies_of_all_orders(spark, tmp_path):
     for order, customer in orders:
         for part in (p for o, p in items if o == order):
             expected.setdefault(f"op{customer}", set()).add(f"p{part}")
-    got = {r.operation_id: r.depends_on for r in queries.QUERIES["cbom_dependencies_whole"](spark, str(tmp_path)).collect()}
+    got = {r.operation_id: r.depends_on for r in queries.QUERIES["cbom_dependencies"](spark, str(tmp_path)).collect()}
     assert got == {k: ",".join(sorted(v)) for k, v in expected.items()} and len(got) == 23
 
 
