@@ -54,7 +54,7 @@ def test_tools(spark, tmp_path):
     (tmp_path / "a.R").write_text("cmd <- commandArgs()\nsystem(cmd)\n")
     path = str(tmp_path)
     found = cli.inventory(spark, path)
-    assert [r["name"] for r in found["methods"].collect()] == ["Main"] and found["entryPoints"].count() == 1
+    assert sorted(r["name"] for r in found["methods"].collect()) == ["Main", "script"] and found["entryPoints"].count() == 1
     reply = json.loads(cli.answer(spark, json.dumps({"id": 1, "method": "query", "params": {"path": path, "query": "slices[sink_category=command]"}})))
     assert len(reply["result"]["rows"]) == 1
     secret = json.loads(cli.answer(spark, json.dumps({"id": 2, "method": "crypto", "params": {"path": path}})))["result"]
