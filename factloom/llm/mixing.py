@@ -29,6 +29,8 @@ from factloom.llm.quality_rules import words
 HALVING = 4
 #: Passes over the classes between two looks at what is left.
 PASSES = 3
+#: A gap of less than this share of the target, or of less than a word, is left.
+NEAR = 0.001
 
 
 def water_fill(sources: DataFrame, share: float, cap: float) -> DataFrame:
@@ -110,7 +112,7 @@ def round_classes(classes: DataFrame, cap: int) -> DataFrame:
 
     What rounding leaves of a target is taken up by what fits. Where nothing fits, one copy that is too much is tried and
     what it exceeds the target by is taken back; it stays if a tenth of the gap is gained, so that the rounds come to an
-    end. A source has as many classes as distinct sizes, and at most HOT_SHARE more.
+    end, and no more is tried once the gap is below NEAR. A source has as many classes as distinct sizes, and at most HOT_SHARE more.
     """
     by_key = Window.partitionBy("_key")
     draw = hash_unit("_key", "size", "salt", seed=9)
@@ -120,13 +122,14 @@ def round_classes(classes: DataFrame, cap: int) -> DataFrame:
         out = materialize(take_up(out, "copies", "_rest", cap).withColumnRenamed("_take", "_last"))
         room = F.when(F.col("_rest") > 0, F.col("n") * cap - F.col("copies")).otherwise(F.col("copies"))
         gap = F.when((room > 0) & (F.col("size") > 0), F.abs(F.col("size") - F.abs("_rest")))
+        open_gap = F.abs("_rest") >= F.greatest(F.lit(1.0), F.col("target") * NEAR)
         nearest = F.row_number().over(by_key.orderBy(F.coalesce(gap, F.lit(math.inf)), "size", "salt")) == 1
-        one = F.when(nearest & gap.isNotNull() & (F.abs("_rest") >= 1), F.signum("_rest")).otherwise(F.lit(0)).cast("long")
+        one = F.when(nearest & gap.isNotNull() & open_gap, F.signum("_rest")).otherwise(F.lit(0)).cast("long")
         trial = out.withColumn("_one", one).withColumns({
             "_copies": F.col("copies") + F.col("_one"), "_left": F.col("_rest") - F.sum(F.col("_one") * F.col("size")).over(by_key)})
         trial = take_up(trial, "_copies", "_left", cap)
         better = F.abs("_left") <= 0.9 * F.abs("_rest")
-        trial = trial.withColumn("_better", better & (F.abs("_rest") >= 1)).withColumns({
+        trial = trial.withColumn("_better", better & open_gap).withColumns({
             "copies": F.when(F.col("_better"), F.col("_copies")).otherwise(F.col("copies")), "_rest": F.when(F.col("_better"), F.col("_left")).otherwise(F.col("_rest"))})
         trial = materialize(trial.drop("_one", "_copies", "_left", "_take"))
         if trial.filter("_better or _last != 0").isEmpty():
