@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions import text
-from factloom.operators import crypto, exports, frontends, taint
+from factloom.functions import scalars, text
+from factloom.operators import aggregates, crypto, exports, frontends, method_flow, rules, taint
 from factloom.plans import dsl
 from factloom.sources import files
 
@@ -29,8 +29,37 @@ def inventory(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def dataflows(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    rows = text.with_context(text.lines(files.scan(files.read_texts(spark, path))))
-    return {"slices": taint.line_slices(taint.mark_lines(rows))}
+    """Slices by lines (R, F#, C/C++) and by methods (C#, Visual Basic), with the graph of their ends."""
+    scanned = files.scan(files.read_texts(spark, path))
+    by_line = taint.line_slices(taint.mark_lines(text.with_context(text.lines(scanned.filter(~F.col("language").isin("csharp", "vb"))))))
+    facts = frontends.extract(scanned.filter(F.col("language").isin("csharp", "vb")))
+    by_method = method_flow.slices(scanned, facts, rules.rules(spark))
+    slices = by_line.unionByName(by_method, allowMissingColumns=True)
+    nodes, edges = method_flow.graph(slices)
+    return {"slices": slices, "nodes": nodes, "edges": edges}
+
+
+def report(spark: SparkSession, path: str) -> str:
+    """The counts and the first weaknesses of a source tree as Markdown."""
+    tables = dataflows(spark, path)
+    at = lambda part: F.concat_ws(":", "path", F.col(f"{part}_line").cast("string"))
+    found = tables["slices"].select(
+        F.concat_ws(":", "path", F.format_string("%08d", "sink_line"), "sink_category").alias("slice_id"), scalars.weakness_kind(F.col("sink_category")).alias("kind"),
+        scalars.weakness_number(scalars.weakness_kind(F.col("sink_category"))).alias("cwe"), F.when(F.col("through").isNull(), "High").otherwise("Medium").alias("confidence"),
+        at("source").alias("source_location"), at("sink").alias("sink_location"))
+    return exports.markdown({name: rows.count() for name, rows in tables.items()}, found)
+
+
+def diff(spark: SparkSession, old: str, new: str) -> DataFrame:
+    """Slice keys that were added or removed between two result documents."""
+
+    def keys(document: str) -> DataFrame:
+        rows = dsl.query_documents(spark, document, "slices")
+        for name in ("source_category", "sink_category", "sink_argument"):
+            rows = rows if name in rows.columns else rows.withColumn(name, F.lit(None).cast("string"))
+        return aggregates.slice_keys(rows)
+
+    return aggregates.difference(keys(old), keys(new))
 
 
 def secrets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -71,12 +100,22 @@ def main(argv: list[str] | None = None) -> int:
     one = commands.add_parser("query")
     one.add_argument("--input", required=True)
     one.add_argument("--query", required=True)
+    one = commands.add_parser("report")
+    one.add_argument("--path", required=True)
+    one = commands.add_parser("diff")
+    one.add_argument("--old", required=True)
+    one.add_argument("--new", required=True)
     commands.add_parser("serve")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("factloom").getOrCreate()
     if args.command == "serve":
         for line in sys.stdin:
             print(answer(spark, line), flush=True)
+    elif args.command == "report":
+        print(report(spark, args.path))
+    elif args.command == "diff":
+        for row in diff(spark, args.old, args.new).orderBy("change", "key").toLocalIterator():
+            print(f"{row.change}\t{row.key}")
     elif args.command == "query":
         for row in dsl.query_documents(spark, args.input, args.query).toJSON().toLocalIterator():
             print(row)
