@@ -16,7 +16,6 @@ An empty table gives no rows. Columns other than id, source and text, of any nam
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,8 +24,11 @@ from pyspark.sql import functions as F
 from factloom.llm.common import HOT_SHARE, global_rank, hash_unit, join_hot, materialize
 from factloom.llm.quality_rules import words
 
-#: The bracket is halved at each such step, and at each where Newton's step leaves it, so that the steps come to an end.
-HALVING = 4
+#: Newton's step is taken where it stays in the bracket and the step before left at most this share of the gap. Otherwise
+#: the bracket is halved or, while it is open to that side, the tilt doubled, so that the steps come to an end.
+FAST = 0.5
+#: The bracket's first ends.
+OPEN = 1e6
 #: Passes over the classes between two looks at what is left.
 PASSES = 3
 #: A gap of less than this share of the target, or of less than a word, is left.
@@ -57,13 +59,11 @@ def solve_dual(histogram: DataFrame, sources: DataFrame, cap: float) -> DataFram
     state = materialize(
         sources.filter("source_size > 0").select(
             "_key", "target", F.col("source_size").cast("double").alias("total"), (F.col("source_size") / F.col("_words_n")).alias("mean"),
-            F.lit(0.0).alias("lam"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"),
+            F.lit(0.0).alias("lam"), F.lit(-OPEN).alias("low"), F.lit(OPEN).alias("high"), F.lit(1e300).alias("last"),
         ).withColumn("done", F.col("target") >= F.col("total") * cap * (1 - 1e-12))
         .withColumn("lam", F.when(F.col("done"), 1e9).otherwise(F.col("lam")))
     )
-    for k in itertools.count(1):
-        if state.filter(~F.col("done")).isEmpty():
-            break
+    while not state.filter(~F.col("done")).isEmpty():
         x = F.col("lam") * F.col("size") / F.col("mean")
         free = x < math.log(cap)
         tokens = F.col("n") * F.col("size") * tilted(x, cap)
@@ -75,11 +75,15 @@ def solve_dual(histogram: DataFrame, sources: DataFrame, cap: float) -> DataFram
         low, high = F.when(gap < 0, F.col("lam")).otherwise(F.col("low")), F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
         step = F.col("lam") - F.when(F.col("slope") > 0, gap / F.col("slope"))
         ready = (F.abs(gap) <= F.greatest(F.lit(0.01), F.col("total") * 1e-9)) | (high - low <= 1e-12 * F.greatest(F.abs(low), F.abs(high)))
-        moved = F.when(ready, F.col("lam")).when((step > low) & (step < high) & F.lit(k % HALVING > 0), step).otherwise((low + high) / 2)
+        fast, twice = F.abs(gap) <= FAST * F.col("last"), 2 * F.abs("lam") + 1
+        moved = (
+            F.when(ready, F.col("lam")).when(fast & (step > low) & (step < high), step)
+            .when((gap < 0) & (high >= OPEN) & (twice < OPEN), twice).when((gap > 0) & (low <= -OPEN) & (twice < OPEN), -twice).otherwise((low + high) / 2)
+        )
         stepped = state.join(sums, "_key", "left").select(
             "_key", "target", "total", "mean",
             F.when(F.col("tokens").isNull(), F.col("lam")).otherwise(moved).alias("lam"),
-            F.coalesce(low, F.col("low")).alias("low"), F.coalesce(high, F.col("high")).alias("high"),
+            F.coalesce(low, F.col("low")).alias("low"), F.coalesce(high, F.col("high")).alias("high"), F.coalesce(F.abs(gap), F.col("last")).alias("last"),
             (F.col("done") | F.coalesce(ready, F.lit(True))).alias("done"),
         )
         state = materialize(stepped)
