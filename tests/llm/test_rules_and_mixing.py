@@ -1,5 +1,6 @@
 """Host rules and mixing against brute force on small tables."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -87,3 +88,21 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(empty).count() == 0
     assert quality_rules.judge(empty).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.02, 0.6, 1.0, 1.5, 1.97])
+def test_dual_against_bisection(spark, share):
+    """The tilted rates take each target, far from the start and near the cap too."""
+    sizes = {"sa": [(1, 50), (7, 400), (900, 3)], "sb": [(3, 10), (40000, 1)]}
+    histogram = spark.createDataFrame([(k, s, n) for k, v in sizes.items() for s, n in v], "_key string, size long, n long")
+    total = {k: sum(s * n for s, n in v) for k, v in sizes.items()}
+    sources = spark.createDataFrame(
+        [(k, share * total[k], total[k], sum(n for _, n in v)) for k, v in sizes.items()], "_key string, target double, source_size long, _words_n long")
+    for r in mixing.solve_dual(histogram, sources, 2).collect():
+        low, high = -1e6, 1e6
+        for _ in range(200):
+            lam = (low + high) / 2
+            taken = sum(n * s * min(2.0, math.exp(min(1.0, lam * s / r["mean"]))) for s, n in sizes[r["_key"]])
+            low, high = (lam, high) if taken < share * total[r["_key"]] else (low, lam)
+        own = sum(n * s * min(2.0, math.exp(min(1.0, r["lam"] * s / r["mean"]))) for s, n in sizes[r["_key"]])
+        assert abs(own - share * total[r["_key"]]) <= 0.011 and abs(own - taken) <= 0.02
