@@ -8,6 +8,12 @@ the leaves it has taken hold ``budget`` rows. The budget is calibrated: for a bo
 neighbours come from brute force over all rows, and the budget is the least that finds ``recall`` of them. Candidates
 are then scored exactly, leaf by leaf, as blocks of queries against blocks of rows.
 
+Of a leaf's rows only those come out that can still be among a query's best: a query knows a floor, the score of its
+k-th best row so far. The first floor is taken from those rows of the sample that are in the query's own leaves; where
+the budget is many times the sample, leaves are scored in phases, each up to GAIN times the rows before it, and each phase
+raises the floor. So a query makes at most k rows per leaf in the first phase, which has a bounded number of rows, and
+about GAIN per neighbour and tree in each further one, whatever the number of its leaves; no row that could win is lost.
+
 Equal vectors are indexed once, with the smallest ids that can appear in a result (top-k + 1, which is exact). Leaves
 with many rows or queries are dealt out in blocks of about ``block``; a block returns each query's best only, ties by the
 smallest id, which loses no tied id that could win.
@@ -39,6 +45,10 @@ MOST_DEPTH = 18
 PER_NODE = 32
 #: Products of unit vectors that differ by less may be tied.
 NEAR = 1e-9
+#: Components of sample rows at most that tasks hold to find a query's first floor.
+HELD = 1 << 20
+#: Rows of a phase at most, as a multiple of those that set the floor.
+GAIN = 16
 
 
 def scaled(vectors) -> np.ndarray:
@@ -110,14 +120,15 @@ class Forest:
                 node = near
             yield t, node - first
 
-    def visits(self, x: np.ndarray, counts: np.ndarray, budget: float) -> list[tuple[int, int]]:
+    def visits(self, x: np.ndarray, counts: np.ndarray, budget: float) -> list[tuple[int, int, int]]:
+        """(tree, leaf, rows taken before it)"""
         out, taken = [], 0
         for t, leaf in self.walk(x):
             if taken >= budget:
                 break
             if counts[t, leaf]:
-                out.append((t, leaf))
-                taken += counts[t, leaf]
+                out.append((t, leaf, taken))
+                taken += int(counts[t, leaf])
         return out
 
 
@@ -222,6 +233,50 @@ def calibrate(index: DataFrame, forest: Forest, counts: np.ndarray, sample: pd.D
     return float(np.quantile(needed, recall, method="higher")) + 1 if needed else math.inf
 
 
+def phase_of(taken: float, held: int) -> int:
+    """The phase of a leaf before which ``taken`` rows come, if ``held`` rows set the first floor."""
+    phase, most = 0, held * GAIN
+    while taken >= most:
+        phase, most = phase + 1, most * GAIN
+    return phase
+
+
+def leaf_bests(placed: DataFrame, visits: DataFrame, counts: np.ndarray, keep: int, block: int) -> DataFrame:
+    """query, v, least and score: of each leaf's rows the ``keep`` best of each query that visits it, above its floor.
+
+    Leaves with many rows or queries are dealt out: each of a leaf's row blocks meets each of its query blocks.
+    """
+    kind = placed.schema["least"].dataType.simpleString()
+    sizes = visits.groupBy("tree", "leaf").agg(F.count("*").alias("q")).toLocalIterator()  # a row per leaf
+    shape = placed.sparkSession.createDataFrame(
+        [(r.tree, r.leaf, max(1, math.ceil(int(counts[r.tree, r.leaf]) / block)), max(1, math.ceil(r.q / block))) for r in sizes],
+        "tree int, leaf int, nv int, nq int")
+    spread = lambda df, own, other, a, b: (
+        df.join(F.broadcast(shape), ["tree", "leaf"]).withColumn(a, F.pmod(F.xxhash64("v"), F.col(own)).cast("int"))
+        .withColumn(b, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("nv", "nq"))
+    groups = ["tree", "leaf", "bv", "bq"]
+    left, right = spread(placed, "nv", "nq", "bv", "bq"), spread(visits, "nq", "nv", "bq", "bv")
+
+    def rank(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(found) and len(asked):
+            raw_x, raw_y = scaled(found["vector"]), scaled(asked["vector"])
+            x, y = units(found["vector"]), units(asked["vector"])
+            keys, least, names, floor = found["v"].tolist(), found["least"].tolist(), asked["v"].tolist(), asked["floor"].to_numpy()
+            k = min(keep, len(keys))
+            for a in range(0, len(y), 256):
+                s = y[a : a + 256] @ x.T
+                cut = np.maximum(-np.partition(-s, k - 1, axis=1)[:, k - 1] - NEAR, floor[a : a + 256])
+                for i, row in enumerate(s >= cut[:, None]):
+                    near = np.flatnonzero(row)
+                    exact = cosine(raw_x[near], raw_y[a + i]).tolist()
+                    best = heapq.nsmallest(keep, ((-c, least[j], keys[j]) for c, j in zip(exact, near.tolist(), strict=True)))
+                    out += [(names[a + i], v, first, -c) for c, first, v in best]
+        return pd.DataFrame(out, columns=["query", "v", "least", "score"]).astype({"query": "int64", "v": "int64", "score": float})
+
+    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(rank, f"query long, v long, least {kind}, score double")
+
+
 def search(vectors: DataFrame, is_query: Column, top: int = 5, id_column: str = "vec_id", vector: str = "embedding", trees: int = 3,
            sample: int = 16384, leaf: int = 256, recall: float = 0.97, block: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``top`` nearest rows found for each query."""
@@ -270,46 +325,39 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, id_column: str =
         counts[r.tree, r.leaf] = r.n
     budget = calibrate(index, forest, counts, chosen, top, recall)
 
+    keep = top + 1
+    known = units(chosen["vector"].iloc[: max(1024, HELD // forest.directions.shape[2])])
+    held = spark.sparkContext.broadcast((known, forest.leaves(known)))
+
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, leaves = held.value
         for frame in frames:
             for v, vector, x in zip(frame["v"], frame["vector"], units(frame["vector"]) if len(frame) else [], strict=True):
                 found = shared.value.visits(x, counts, budget)
-                yield pd.DataFrame({"v": v, "vector": [vector] * len(found), "tree": np.array([t for t, _ in found], dtype=np.int32), "leaf": np.array([n for _, n in found], dtype=np.int32)})
+                mine = np.zeros(counts.shape, dtype=bool)
+                mine[[t for t, _, _ in found], [n for _, n, _ in found]] = True
+                s = known[mine[np.arange(len(mine)), leaves].any(1)] @ x
+                floor = float(np.partition(s, len(s) - keep)[len(s) - keep]) - NEAR if len(s) >= keep else -math.inf
+                yield pd.DataFrame({
+                    "v": v, "vector": [vector] * len(found), "floor": floor, "tree": np.array([t for t, _, _ in found], dtype=np.int32),
+                    "leaf": np.array([n for _, n, _ in found], dtype=np.int32),
+                    "phase": np.array([phase_of(k, len(known)) for _, _, k in found], dtype=np.int32)})
 
     queries = index.join(per_key.select("v"), "v", "left_semi").select("v", "vector")
-    visits = materialize(queries.mapInPandas(visit, f"v long, vector {kind_of}, tree int, leaf int"))
-    # blocks: each of a leaf's row blocks meets each of its query blocks
-    sizes = visits.groupBy("tree", "leaf").agg(F.count("*").alias("q")).toLocalIterator()  # a row per leaf
-    shape = spark.createDataFrame(
-        [(r.tree, r.leaf, max(1, math.ceil(int(counts[r.tree, r.leaf]) / block)), max(1, math.ceil(r.q / block))) for r in sizes],
-        "tree int, leaf int, nv int, nq int")
-    spread = lambda df, own, other, a, b: (
-        df.join(F.broadcast(shape), ["tree", "leaf"]).withColumn(a, F.pmod(F.xxhash64("v"), F.col(own)).cast("int"))
-        .withColumn(b, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("nv", "nq"))
-    groups = ["tree", "leaf", "bv", "bq"]
-    left, right = spread(placed, "nv", "nq", "bv", "bq"), spread(visits, "nq", "nv", "bq", "bv")
-    keep = top + 1
-
-    def rank(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(found) and len(asked):
-            raw_x, raw_y = scaled(found["vector"]), scaled(asked["vector"])
-            x, y = units(found["vector"]), units(asked["vector"])
-            keys, least, names = found["v"].tolist(), found["least"].tolist(), asked["v"].tolist()
-            k = min(keep, len(keys))
-            for a in range(0, len(y), 256):
-                s = y[a : a + 256] @ x.T
-                cut = -np.partition(-s, k - 1, axis=1)[:, k - 1] - NEAR
-                for i, row in enumerate(s >= cut[:, None]):
-                    near = np.flatnonzero(row)
-                    exact = cosine(raw_x[near], raw_y[a + i]).tolist()
-                    best = heapq.nsmallest(keep, ((-c, least[j], keys[j]) for c, j in zip(exact, near.tolist(), strict=True)))
-                    out += [(names[a + i], v, -c) for c, _, v in best]
-        return pd.DataFrame(out, columns=["query", "v", "score"]).astype({"query": "int64", "v": "int64", "score": float})
-
-    scored = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(rank, "query long, v long, score double")
+    visits = materialize(queries.mapInPandas(visit, f"v long, vector {kind_of}, floor double, tree int, leaf int, phase int"))
+    # equal ranks are one row that several trees have found
+    nearest = Window.partitionBy("query").orderBy(F.desc("score"), "least", "v")
+    scored = None
+    for phase in range(1 + phase_of(min(budget, int(counts.sum())) - 1, len(known))):
+        now = visits.filter(F.col("phase") == phase).drop("phase")
+        if scored is not None:
+            reached = scored.groupBy(F.col("query").alias("v")).agg(F.count("*").alias("n"), F.min("score").alias("s")).filter(F.col("n") == keep)
+            now = now.join(reached, "v", "left").withColumn("floor", F.greatest("floor", F.col("s") - NEAR)).drop("n", "s")
+        found = leaf_bests(placed, now, counts, keep, block)
+        found = found if scored is None else scored.unionByName(found)
+        scored = materialize(found.withColumn("_n", F.dense_rank().over(nearest)).filter(F.col("_n") <= keep).drop("_n").distinct())
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    ids = scored.distinct().join(index.select("v", "ids"), "v").select("query", "score", F.explode("ids").alias("vec_id"))
+    ids = scored.join(index.select("v", "ids"), "v").select("query", "score", F.explode("ids").alias("vec_id"))
     lists = (
         ids.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= top + 1)
         .groupBy(F.col("query").alias("v")).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v")))).alias("near"))

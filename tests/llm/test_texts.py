@@ -256,6 +256,29 @@ def test_recall_on_the_table(spark):
     assert len({x[::2] for x in got} & {x[::2] for x in truth}) >= 0.9 * len(truth)
 
 
+def test_rows_made_do_not_follow_the_leaves(spark, monkeypatch):
+    """A query that visits hundreds of leaves makes a few rows after the first phase, and loses none that could win."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=24).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    made, plain = [], ann.leaf_bests
+
+    def counted(placed, visits, counts, keep, block):
+        found = plain(placed, visits, counts, keep, block)
+        every = sum(min(keep, int(counts[r.tree, r.leaf])) for r in visits.select("tree", "leaf").collect())
+        made.append((found.count(), every, visits.select("v").distinct().count()))
+        return found
+
+    monkeypatch.setattr(ann, "leaf_bests", counted)
+    got, truth = found_by(df, leaf=8, sample=64), nearest(rows)
+    assert len({x[::2] for x in got} & {x[::2] for x in truth}) >= 0.9 * len(truth)
+    assert len(made) == 2 and 2 * made[0][0] < made[0][1]
+    assert made[1][0] <= made[1][2] * 6 * ann.GAIN and 10 * made[1][0] < made[1][1]
+    # without floors the answer is the same
+    monkeypatch.setattr(ann, "leaf_bests", lambda placed, visits, *rest: plain(placed, visits.withColumn("floor", F.lit(-math.inf)), *rest))
+    assert found_by(df, leaf=8, sample=64) == got
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0, 0.0), (1, [0.0, 1.0], 0, 0.0), (2, [1.0, 1.0], 0, 0.0)], VECTORS)
     assert [(r["rank"], r.vec_id) for r in ann.search(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(1, 2), (2, 1)]
