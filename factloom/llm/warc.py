@@ -41,10 +41,16 @@ READ_SCHEMA = (
 
 
 def base32_sha1(payload: Column) -> Column:
-    """The SHA-1 digest in upper-case base32, from built-in functions: 20 bits are 5 hex digits and 4 base32 digits."""
-    digest = F.sha1(payload)
-    parts = [F.lpad(F.conv(F.substring(digest, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
-    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    """The SHA-1 digest in upper-case base32, from built-in functions: 20 bits are 5 hex digits and 4 base32 digits.
+
+    A lambda's variable holds the digest, as filters would hash the payload again for each time that it is named.
+    """
+
+    def base32(digest: Column) -> Column:
+        parts = [F.lpad(F.conv(F.substring(digest, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
+        return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+    return F.get(F.transform(F.array(F.sha1(payload)), base32), F.lit(0))
 
 
 def capture_headers(pages: DataFrame, id_column: str, url: str, payload: str) -> DataFrame:
@@ -70,7 +76,8 @@ def resolve_revisits(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
     n = first.count()
     again = large
     if n <= MOST_FILTERED:
-        again = large & build_filter(first.select(F.col("_key").alias("key")), n, 0.01, 1).has(F.col("_digest"))
+        # the filter names its key many times; here it is a lambda's variable, made once
+        again = large & F.exists(F.array("_digest"), build_filter(first.select(F.col("_key").alias("key")), n, 0.01, 1).has)
     single = [F.lit(None).cast(f.dataType).alias(f.name) for f in first.schema if f.name in ("_original", "_original_url")]
     joined = join_hot(captures.filter(again).withColumn("_key", F.col("_digest")), first, "_key", "_n").drop("_key")
     joined = captures.filter(~again).select("*", *single).unionByName(joined)

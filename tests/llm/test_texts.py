@@ -106,6 +106,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.op1(spark, spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_warc_hashes_payloads_a_few_times(spark):
+    """Once in each projection and in each filter, which is pushed below the digest's column, and once for a join's null test."""
+    pages = spark.createDataFrame([(i, "u", f"p{i % 7}" if i % 2 else f"q{i}", None) for i in range(40)], PAGES)
+    resolved = warc.resolve_revisits(warc.capture_headers(pages, "page_id", "url", "html"))
+    plan = resolved._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        assert line.count("sha1(") <= 2, line[:300]
+    got = {(r._id, r._type, r._refers_id) for r in resolved.collect()}
+    last = {f"p{i % 7}": i for i in range(1, 40, 2)}
+    assert got == {(i, "revisit", last[f"p{i % 7}"]) if i % 2 and last[f"p{i % 7}"] != i else (i, "response", None) for i in range(40)}
+
+
 def test_warc_ids_of_any_kind(spark, tmp_path):
     """Ids are text, null apart from the text null, and come back whole."""
     rows = [("a <b> %\r\nc", "p"), ("null", "q"), (None, "r"), ("é+ x", "p")]
