@@ -15,8 +15,9 @@ raises the floor. So a query makes at most k rows per leaf in the first phase, w
 about GAIN per neighbour and tree in each further one, whatever the number of its leaves; no row that could win is lost.
 
 Equal vectors are indexed once, with the smallest ids that can appear in a result (top-k + 1, which is exact). Leaves
-with many rows or queries are dealt out in blocks of about ``block``; a block returns each query's best only, ties by the
-smallest id, which loses no tied id that could win.
+that are neighbours in a tree are one part of about ``block`` rows, to which a query is sent once with the list of its
+leaves there. Parts with more rows or queries are dealt out in blocks; a block returns each query's best only, ties by
+the smallest id, which loses no tied id that could win.
 
 Defined cases: vectors that are null, empty, zero, or that hold a null or non-finite component take no part, neither as
 query nor as candidate. Shorter vectors count as filled up with zeros. Components may be as large or small as doubles are:
@@ -244,34 +245,42 @@ def phase_of(taken: float, held: int) -> int:
 def leaf_bests(placed: DataFrame, visits: DataFrame, counts: np.ndarray, keep: int, block: int) -> DataFrame:
     """query, v, least and score: of each leaf's rows the ``keep`` best of each query that visits it, above its floor.
 
-    Leaves with many rows or queries are dealt out: each of a leaf's row blocks meets each of its query blocks.
+    ``counts`` has the rows of each part of a tree. Parts with many rows or queries are dealt out: each of a part's row
+    blocks meets each of its query blocks.
     """
     kind = placed.schema["least"].dataType.simpleString()
-    sizes = visits.groupBy("tree", "leaf").agg(F.count("*").alias("q")).toLocalIterator()  # a row per leaf
+    sizes = visits.groupBy("tree", "part").agg(F.count("*").alias("q")).toLocalIterator()  # a row per part
     shape = placed.sparkSession.createDataFrame(
-        [(r.tree, r.leaf, max(1, math.ceil(int(counts[r.tree, r.leaf]) / block)), max(1, math.ceil(r.q / block))) for r in sizes],
-        "tree int, leaf int, nv int, nq int")
+        [(r.tree, r.part, max(1, math.ceil(int(counts[r.tree, r.part]) / block)), max(1, math.ceil(r.q / block))) for r in sizes],
+        "tree int, part int, nv int, nq int")
     spread = lambda df, own, other, a, b: (
-        df.join(F.broadcast(shape), ["tree", "leaf"]).withColumn(a, F.pmod(F.xxhash64("v"), F.col(own)).cast("int"))
+        df.join(F.broadcast(shape), ["tree", "part"]).withColumn(a, F.pmod(F.xxhash64("v"), F.col(own)).cast("int"))
         .withColumn(b, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("nv", "nq"))
-    groups = ["tree", "leaf", "bv", "bq"]
+    groups = ["tree", "part", "bv", "bq"]
     left, right = spread(placed, "nv", "nq", "bv", "bq"), spread(visits, "nq", "nv", "bq", "bv")
 
     def rank(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(found) and len(asked):
+            found = found.sort_values("leaf", kind="stable")
             raw_x, raw_y = scaled(found["vector"]), scaled(asked["vector"])
             x, y = units(found["vector"]), units(asked["vector"])
             keys, least, names, floor = found["v"].tolist(), found["least"].tolist(), asked["v"].tolist(), asked["floor"].to_numpy()
-            k = min(keep, len(keys))
-            for a in range(0, len(y), 256):
-                s = y[a : a + 256] @ x.T
-                cut = np.maximum(-np.partition(-s, k - 1, axis=1)[:, k - 1] - NEAR, floor[a : a + 256])
-                for i, row in enumerate(s >= cut[:, None]):
-                    near = np.flatnonzero(row)
-                    exact = cosine(raw_x[near], raw_y[a + i]).tolist()
-                    best = heapq.nsmallest(keep, ((-c, least[j], keys[j]) for c, j in zip(exact, near.tolist(), strict=True)))
-                    out += [(names[a + i], v, first, -c) for c, first, v in best]
+            visited = np.concatenate([np.asarray(k) for k in asked["leaves"]])
+            visitor = np.repeat(np.arange(len(asked)), [len(k) for k in asked["leaves"]])
+            leaves, starts = np.unique(found["leaf"].to_numpy(), return_index=True)
+            for leaf, lo, hi in zip(leaves.tolist(), starts.tolist(), [*starts[1:].tolist(), len(found)], strict=True):
+                those, k = visitor[visited == leaf], min(keep, hi - lo)
+                for a in range(0, len(those), 256):
+                    own = those[a : a + 256]
+                    s = y[own] @ x[lo:hi].T
+                    cut = np.maximum(-np.partition(-s, k - 1, axis=1)[:, k - 1] - NEAR, floor[own])
+                    row = s >= cut[:, None]
+                    for r in np.flatnonzero(row.any(1)).tolist():
+                        i, near = int(own[r]), np.flatnonzero(row[r]) + lo
+                        exact = cosine(raw_x[near], raw_y[i]).tolist()
+                        best = heapq.nsmallest(keep, ((-c, least[j], keys[j]) for c, j in zip(exact, near.tolist(), strict=True)))
+                        out += [(names[i], v, first, -c) for c, first, v in best]
         return pd.DataFrame(out, columns=["query", "v", "least", "score"]).astype({"query": "int64", "v": "int64", "score": float})
 
     return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(rank, f"query long, v long, least {kind}, score double")
@@ -299,16 +308,17 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, id_column: str =
     forest = plant(units(chosen["vector"]), trees, min(depth, max(0, int(math.log2(max(1, len(chosen) / min(leaf, PER_NODE)))))), rng)
     forest = grow(forest, index, depth, rng)
     shared = spark.sparkContext.broadcast(forest)
+    bits = min(depth, max(0, int(math.log2(max(1.0, block * 2**depth / n)))))  # a part is 2^bits leaves
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
                 found = shared.value.leaves(units(frame["vector"]))
                 for t in range(found.shape[1]):
-                    yield frame.assign(tree=np.int32(t), leaf=found[:, t].astype(np.int32))
+                    yield frame.assign(tree=np.int32(t), leaf=found[:, t].astype(np.int32), part=(found[:, t] >> bits).astype(np.int32))
 
     kind_of = index.schema["vector"].dataType.simpleString()
-    placed = index.select("v", "least", "vector").mapInPandas(place, f"v long, least {kind}, vector {kind_of}, tree int, leaf int")
+    placed = index.select("v", "least", "vector").mapInPandas(place, f"v long, least {kind}, vector {kind_of}, tree int, leaf int, part int")
 
     def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = np.zeros((shared.value.trees, 2**shared.value.depth), dtype=np.int64)
@@ -338,13 +348,15 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, id_column: str =
                 mine[[t for t, _, _ in found], [n for _, n, _ in found]] = True
                 s = known[mine[np.arange(len(mine)), leaves].any(1)] @ x
                 floor = float(np.partition(s, len(s) - keep)[len(s) - keep]) - NEAR if len(s) >= keep else -math.inf
-                yield pd.DataFrame({
-                    "v": v, "vector": [vector] * len(found), "floor": floor, "tree": np.array([t for t, _, _ in found], dtype=np.int32),
-                    "leaf": np.array([n for _, n, _ in found], dtype=np.int32),
-                    "phase": np.array([phase_of(k, len(known)) for _, _, k in found], dtype=np.int32)})
+                parts: dict[tuple[int, int, int], list[int]] = {}
+                for t, leaf, taken in found:
+                    parts.setdefault((t, leaf >> bits, phase_of(taken, len(known))), []).append(leaf)
+                at = np.array(list(parts), dtype=np.int32)
+                yield pd.DataFrame({"v": v, "vector": [vector] * len(parts), "floor": floor, "tree": at[:, 0], "part": at[:, 1], "phase": at[:, 2], "leaves": list(parts.values())})
 
     queries = index.join(per_key.select("v"), "v", "left_semi").select("v", "vector")
-    visits = materialize(queries.mapInPandas(visit, f"v long, vector {kind_of}, floor double, tree int, leaf int, phase int"))
+    visits = materialize(queries.mapInPandas(visit, f"v long, vector {kind_of}, floor double, tree int, part int, phase int, leaves array<int>"))
+    sizes = counts.reshape(trees, -1, 2**bits).sum(2)
     # equal ranks are one row that several trees have found
     nearest = Window.partitionBy("query").orderBy(F.desc("score"), "least", "v")
     scored = None
@@ -353,7 +365,7 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, id_column: str =
         if scored is not None:
             reached = scored.groupBy(F.col("query").alias("v")).agg(F.count("*").alias("n"), F.min("score").alias("s")).filter(F.col("n") == keep)
             now = now.join(reached, "v", "left").withColumn("floor", F.greatest("floor", F.col("s") - NEAR)).drop("n", "s")
-        found = leaf_bests(placed, now, counts, keep, block)
+        found = leaf_bests(placed, now, sizes, keep, block)
         found = found if scored is None else scored.unionByName(found)
         scored = materialize(found.withColumn("_n", F.dense_rank().over(nearest)).filter(F.col("_n") <= keep).drop("_n").distinct())
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")

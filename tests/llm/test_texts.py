@@ -277,8 +277,10 @@ def test_rows_made_do_not_follow_the_leaves(spark, monkeypatch):
 
     def counted(placed, visits, counts, keep, block):
         found = plain(placed, visits, counts, keep, block)
-        every = sum(min(keep, int(counts[r.tree, r.leaf])) for r in visits.select("tree", "leaf").collect())
-        made.append((found.count(), every, visits.select("v").distinct().count()))
+        rows_of = {r[:2]: r[2] for r in placed.groupBy("tree", "leaf").count().collect()}
+        leaves = visits.select("tree", F.explode("leaves").alias("leaf")).collect()
+        every = sum(min(keep, rows_of[r.tree, r.leaf]) for r in leaves)
+        made.append((found.count(), every, visits.select("v").distinct().count(), visits.count(), len(leaves)))
         return found
 
     monkeypatch.setattr(ann, "leaf_bests", counted)
@@ -286,6 +288,7 @@ def test_rows_made_do_not_follow_the_leaves(spark, monkeypatch):
     assert len({x[::2] for x in got} & {x[::2] for x in truth}) >= 0.9 * len(truth)
     assert len(made) == 2 and 2 * made[0][0] < made[0][1]
     assert made[1][0] <= made[1][2] * 6 * ann.GAIN and 10 * made[1][0] < made[1][1]
+    assert all(20 * sent < visited for *_, sent, visited in made)
     # without floors the answer is the same
     monkeypatch.setattr(ann, "leaf_bests", lambda placed, visits, *rest: plain(placed, visits.withColumn("floor", F.lit(-math.inf)), *rest))
     assert found_by(df, leaf=8, sample=64) == got
